@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules
+from . import byte_bpe, packing, quality_rules, simhash
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_simhash": simhash.op7_simhash,
+        "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     }
 
 
