@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, quality_rules, simhash
+from . import byte_bpe, packing, quality_rules, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_simhash": simhash.op7_simhash,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
