@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, quality_rules, simhash, suffix_dedup
+from . import byte_bpe, mpeg_audio, packing, pii, quality_rules, simhash, suffix_dedup
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_simhash": simhash.op7_simhash,
+        "op8_pii": pii.op8_pii,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+        "op10_mpeg_audio": mpeg_audio.op10_mpeg_audio,
     }
 
 
