@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, mpeg_audio, packing, pii, quality_rules, simhash, suffix_dedup
+from . import byte_bpe, html_extraction, mpeg_audio, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
+        "op3_quality_classifier": quality_classifier.op3_quality_classifier,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op5_html_extraction": html_extraction.op5_html_extraction,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_simhash": simhash.op7_simhash,
         "op8_pii": pii.op8_pii,
