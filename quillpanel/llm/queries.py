@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_extraction, mpeg_audio, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup
+from . import byte_bpe, html_extraction, mpeg_audio, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
         "op2_packing": packing.op2_packing,
         "op3_quality_classifier": quality_classifier.op3_quality_classifier,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
