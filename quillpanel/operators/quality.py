@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import rows
+from ..functions.rolling import corr_of, rows
 from ..sources.bars import PRICES, keep_last
 
 OHLC = PRICES[:4]
@@ -143,7 +143,7 @@ def quarantined(df: DataFrame, trimmed: DataFrame, limits: Limits = Limits()) ->
     raw = df.groupBy("ticker").agg(F.count(F.lit(1)).alias("raw_rows"))
     left = trimmed.groupBy("ticker").agg(F.count(F.lit(1)).alias("__kept"))
     kept = F.coalesce("__kept", F.lit(0))
-    return raw.join(left, "ticker", "left").where(kept < limits.min_history).select("ticker", "raw_rows", F.when(kept == 0, "no_real_data").otherwise("short_history").alias("reason"))
+    return raw.join(left, "ticker", "left").where(kept < limits.min_history).select("ticker", "raw_rows", F.when(kept == 0, "no sustained real trading window").otherwise(f"real history < {limits.min_history} days").alias("reason"))
 
 
 def enough_history(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -173,11 +173,11 @@ def repair(df: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFra
     bad = disorder()
     low, high = F.least(*OHLC), F.greatest(*OHLC)
     pair = lambda a, b: F.format_string("%.4f/%.4f", a, b)
-    order_log = df.where(bad).select("ticker", "date", F.lit("high/low").alias("field"), pair(F.col("high"), F.col("low")).alias("old"), pair(high, low).alias("new"), F.lit("ohlc_order").alias("reason"))
+    order_log = df.where(bad).select("ticker", "date", F.lit("high/low").alias("field"), pair(F.col("high"), F.col("low")).alias("old"), pair(high, low).alias("new"), F.lit("ohlc_order_fix").alias("reason"))
     df = df.withColumns({"__h": F.when(bad, high).otherwise(F.col("high")), "__l": F.when(bad, low).otherwise(F.col("low"))})
     df = df.withColumns({"high": F.col("__h"), "low": F.col("__l")}).drop("__h", "__l")
     zero = F.coalesce(F.least(*PRICES) <= limits.min_price, F.lit(False)) & F.col("adj_close").isNotNull()
-    zero_log = df.where(zero).select("ticker", "date", F.lit("ohlc").alias("field"), F.format_string("%.4f", F.col("adj_close")).alias("old"), F.lit(None).cast("string").alias("new"), F.lit("non_positive").alias("reason"))
+    zero_log = df.where(zero).select("ticker", "date", F.lit("price").alias("field"), F.lit("<=min").alias("old"), F.lit("NaN").alias("new"), F.lit("nonpositive_price").alias("reason"))
     df = df.withColumn("__z", zero).withColumns({c: F.when(~F.col("__z"), F.col(c)) for c in PRICES}).drop("__z")
     return df, order_log.unionByName(zero_log)
 
@@ -217,8 +217,6 @@ def wide(panel: DataFrame, names: list[str]) -> DataFrame:
 
 def reconcile(left: DataFrame, right: DataFrame, least: int = 30) -> DataFrame:
     """Two vendors' closes compared for every ticker of left on their common dates."""
-    from ..functions.rolling import corr_of
-
     both = left.select("ticker", "date", F.col("close").alias("__y")).join(right.select("ticker", "date", F.col("close").alias("__s")), ["ticker", "date"]).dropna()
     step = lambda c: F.try_divide(F.col(c), F.lag(c).over(rows())) - 1
     both = both.withColumns({"pct": F.abs(F.try_divide(F.col("__y"), F.col("__s")) - 1), "ry": step("__y"), "rs": step("__s")})
