@@ -128,7 +128,10 @@ def judged(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, Co
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, with the columns they came with."""
     df, of = judged(docs, text)
-    return df.where(of["kept"]).select(*docs.columns)
+    # A filter on plain columns is pushed below them with their whole expressions, which would then be
+    # computed anew for every word; one on a column that names the partition stays where it is.
+    kept = fresh(df, "_q_kept")
+    return df.withColumn(kept, of["kept"] & (F.spark_partition_id() >= 0)).where(F.col(kept)).select(*docs.columns)
 
 
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
