@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh
+from .common import documents, durable, fresh
 from .suffix_sort import Block
 
 SPAN = 200
@@ -33,6 +33,8 @@ GRAM = 32
 PART_BITS = 22
 #: Different runs of one gram that are sorted in one bucket, and bytes of the buckets of one block.
 CROWD, BLOCK_BYTES = 20_000, 1 << 20
+#: Keys that a join spreads (any other has at most a 1,000th of the rows), and tasks for each of them.
+HOT, SALTS = 1000, 64
 
 
 def _mixed(x: np.ndarray, by: int) -> np.ndarray:
@@ -187,18 +189,31 @@ def _sort_buckets(span: int, block_bytes: int):
     return run
 
 
+def _spread_join(many: DataFrame, few: DataFrame, key: str, weight: str) -> DataFrame:
+    """many joined to few (one row a key, weight its rows in many); the heaviest keys are salted.
+
+    What is broadcast are the HOT heaviest keys at most, whatever the size of few.
+    """
+    hot = F.broadcast(few.orderBy(F.desc(weight)).limit(HOT).select(key, F.lit(True).alias("hot")))
+    salt = F.pmod(F.xxhash64("ka", "kb", "place"), F.lit(SALTS)) if "place" in many.columns else F.pmod(F.xxhash64("one"), F.lit(SALTS))
+    left = many.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(0)).drop("hot")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).otherwise(F.array(F.lit(0).cast("long")))
+    right = few.join(hot, key, "left").withColumn("salt", F.explode(salts)).drop("hot")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
 def repeated_spans(rows: DataFrame, span: int = SPAN, crowd: int = CROWD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(ka, kb, spans): for each row key of rows (ka, kb, text binary, ...) its covered spans, unmerged."""
     made = rows.select("ka", "kb", "text").mapInArrow(_run_rows(span), "gram long, whole long, ka long, kb long, place long")
     # Grams that occur once are most of all; they go before anything but the gram is shuffled with them.
-    shared = made.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    hits = made.join(shared, "gram").withColumn("kind", F.struct("gram", "whole"))
+    shared = made.groupBy("gram").agg(F.count("*").alias("uses")).where("uses > 1")
+    hits = durable(_spread_join(made, shared, "gram", "uses").select(F.struct("gram", "whole").alias("kind"), "ka", "kb", "place"))
     kinds = hits.groupBy("kind").agg(F.count("*").alias("n"), F.min(F.struct("ka", "kb", "place")).alias("one"))
-    whole = hits.join(kinds.where("n > 1").select("kind"), "kind").select("ka", "kb", F.expr("shiftright(place, 16)").alias("lo"), F.expr(f"shiftright(place, 16) + (shiftright(place, 8) & 255) + {span}").alias("hi"))
+    whole = _spread_join(hits, kinds.where("n > 1").select("kind", "n"), "kind", "n").select("ka", "kb", F.expr("shiftright(place, 16)").alias("lo"), F.expr(f"shiftright(place, 16) + (shiftright(place, 8) & 255) + {span}").alias("hi"))
 
     kinds = kinds.select(F.col("kind.gram").alias("gram"), "n", "one")
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(mixed, "gram").select("one.ka", "one.kb", F.struct("gram", "one.place", "kinds", (F.col("n") == 1).alias("single")).alias("w"))
+    wanted = _spread_join(kinds, mixed, "gram", "kinds").select("one.ka", "one.kb", F.struct("gram", "one.place", "kinds", (F.col("n") == 1).alias("single")).alias("w"))
     wanted = wanted.groupBy("ka", "kb").agg(F.collect_list("w").alias("wanted"))
     fetched = _text(rows).join(wanted, ["ka", "kb"]).select("ka", "kb", "text", "wanted").mapInArrow(_fetch(span, crowd), "gram long, single boolean, ka long, kb long, place long, data binary")
     sorted_out = fetched.where("gram IS NOT NULL").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort_buckets(span, block_bytes), "ka long, kb long, lo long, hi long")
