@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import documents, durable, fresh
+from .common import documents, durable
 from .components import components
 
 SHINGLE, SEED, LINK_BITS = 3, 42, 2
@@ -187,21 +187,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(component_of(nodes), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("name").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: of its rows with the least doc_id one, the same each run.
-
-    Rows are told apart by two hashes over all their columns; rows alike in every column count as one.
-    """
-    kinds = [F.to_json(F.struct(c)) if t.startswith(("map", "struct", "array", "variant")) else F.col(f"`{c}`") for c, t in docs.dtypes]
-    known = [F.xxhash64(F.lit(1), *kinds), F.xxhash64(F.lit(2), *reversed(kinds))]
-    rows = durable(fingerprints(docs, F.col("text"), F.col("doc_id").cast("long").alias("d"), known[0].alias("x"), known[1].alias("y")))
-    name = F.struct(F.col("d").isNull().alias("n"), "d", "x", "y")
-    nodes = durable(rows.groupBy("fp").agg(F.min(name).alias("name")))
-    stay = component_of(nodes).select("name.x", "name.y").distinct()
-    x, y = fresh(docs, "_sim_x"), fresh(docs, "_sim_y")
-    stay = stay.toDF(x, y)
-    return docs.withColumns({x: known[0], y: known[1]}).join(stay, [x, y], "left_semi").dropDuplicates([x, y]).select(*docs.columns)
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

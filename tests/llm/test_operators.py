@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillpanel.llm import byte_bpe, golay, html_extraction, mpeg_audio, packing, pii, quality_rules, simhash, suffix_dedup, token_counts
+from quillpanel.llm import byte_bpe, golay, html_extraction, mpeg_audio, near_copies, packing, pii, quality_rules, simhash, suffix_dedup, token_counts
 from quillpanel.llm.common import tokenizer_path
 
 WORDS = "the river runs past old mills and under stone bridges while people walk home from work at dusk in light rain".split()
@@ -181,6 +181,39 @@ def test_golay_keys_meet():
     assert all(keys[0][i] & keys[1][i] for i in range(200))
 
 
+def test_near_copies_equal_brute_force(spark):
+    g = random.Random(6)
+    texts = [None, " ", "one two", "one two", "one two three"]
+    for n in [100] * 8 + [300] * 8 + [1000] * 4:
+        words = [str(g.randrange(10**6)) for _ in range(n)]
+        texts.append(" ".join(words))
+        for changed in (1, 3, 5, 12):
+            near = list(words)
+            for i in g.sample(range(n), changed):
+                near[i] = "other%d" % g.randrange(10**6)
+            texts.append(" ".join(near))
+    sets = [set(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").split()) else set() for t in texts]
+    of = {i: i for i in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and of[i] != of[j]:
+                a, b = sorted((of[i], of[j]))
+                of = {k: a if v == b else v for k, v in of.items()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    assert sorted(got) == sorted(set(of.values()))
+
+
+def test_keys_of_similar_sets_meet():
+    g = np.random.default_rng(5)
+    met = 0
+    for _ in range(300):
+        x = g.integers(0, 1 << 63, 1000).astype(np.uint64)
+        a, b = x[:900], x[100:]  # similarity 0.8
+        met += bool((near_copies.keys(np.unique(a)) == near_copies.keys(np.unique(b))).any())
+    assert met >= 298
+
+
 def test_byte_pairs_equal_a_library(spark, sf, texts):
     import public_tokenizers
     import tiktoken
