@@ -99,15 +99,18 @@ _AT = rf"(?:\s?{_OPEN}\s?(?:at|arroba|arobase|@)\s?{_CLOSE}\s?)"
 _DOT = rf"(?:\s?{_OPEN}\s?(?:dot|punkt|point|punto|\.)\s?{_CLOSE}\s?)"
 _LABEL = r"[A-Za-z0-9-]+"
 _NAME = r"[A-Za-z0-9_%+-]+"
-_BARE_DOT = r"(?: dot | punkt | punto )"
-#: Last labels that make an address of bare words; in brackets any two letters do.
-LAST_LABELS = frozenset("com org net edu gov mil int info biz name io ai app dev co uk us ca au de fr es it nl be ch at eu ie pt pl se no dk fi ru jp cn in br mx ar example test invalid".split())
+_BARE_DOT = r"(?: dot | punkt | punto | point )"
+#: Words that no host of bare words begins with, and that end none after a bare "point" (as in "at this point in").
+DETERMINERS = frozenset("a an the this that these those which what each every any some one no another his her its my your our their".split())
+FUNCTION_WORDS = DETERMINERS | frozenset("of in on to for from with by at as and or but so if than then when where while who he she it we you they is are was were be been has have had will would can could may might do does did not".split())
 #: A disguise must make up a whole address: name, at, label, dot, label.
 _DISGUISED = re.compile(
     rf"(?<![A-Za-z0-9._%+-])(?P<name>{_NAME}(?:(?:\.|{_DOT}|{_BARE_DOT}){_NAME}){{0,4}}?)(?P<at>{_AT}|@| at | arroba | arobase )(?P<host>{_LABEL}(?:(?:{_DOT}|{_BARE_DOT}|\.){_LABEL}){{1,5}})",
     re.IGNORECASE,
 )
-_DISGUISE_HINT = re.compile(rf"{_OPEN}\s?(?:at|arroba|arobase|@|dot|punkt|point|punto|\.)\s?{_CLOSE}| (?:at|arroba|arobase) [A-Za-z0-9-]+(?: dot | punkt | punto )|@[A-Za-z0-9-]+ (?:dot|punkt|punto) ", re.IGNORECASE)
+_DISGUISE_HINT = re.compile(rf"{_OPEN}\s?(?:at|arroba|arobase|@|dot|punkt|point|punto|\.)\s?{_CLOSE}| (?:at|arroba|arobase) [A-Za-z0-9-]+(?: dot | punkt | punto | point )|@[A-Za-z0-9-]+ (?:dot|punkt|punto|point) |[0-9] (?:dot|punkt|punto|point) [0-9]", re.IGNORECASE)
+#: Digit groups of an ip, with dots or their disguises between them.
+_DOTTED_DIGITS = re.compile(rf"(?<![0-9])[0-9]+(?:(?:\.|{_DOT}|{_BARE_DOT})[0-9]+){{3,}}", re.IGNORECASE)
 _ANY_DOT = re.compile(rf"{_DOT}|{_BARE_DOT}", re.IGNORECASE)
 
 
@@ -199,9 +202,12 @@ def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
         marks = [m["at"], *(d[0] for d in dots), *(d[0] for d in _ANY_DOT.finditer(m["name"]))]
         if marks == ["@"] or marks[0] != "@" and marks[0].strip()[0] not in "[({<" and not dots:
             continue  # plain, or only the word "at"
-        last = re.split(r"[^A-Za-z0-9-]+", m["host"])[-1]
+        labels = re.split(r"\.|" + _ANY_DOT.pattern, m["host"].lower())
+        last = labels[-1]
         bare = any(x != "@" and x.strip()[0] not in "[({<" for x in marks)
-        if len(last) < 2 or not last.isalpha() or bare and last.lower() not in LAST_LABELS:
+        if len(last) < 2 or not last.isalpha() or bare and labels[0] in DETERMINERS:
+            continue
+        if any(x.lower() == " point " for x in marks) and (last in FUNCTION_WORDS or labels[0].isdigit()):
             continue
         s = m.start("name")
         out += [(s + d.start(), s + d.end(), ".") for d in _ANY_DOT.finditer(m["name"])]
@@ -211,6 +217,10 @@ def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _dotted_edits(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start() + d.start(), m.start() + d.end(), ".") for m in _DOTTED_DIGITS.finditer(text) for d in _ANY_DOT.finditer(m[0])]
+
+
 def search(text: str) -> tuple[list[Span], list[Span]]:
     """(plain spans, all spans), both by start and then in the order of KINDS."""
     base = detect(text)
@@ -221,6 +231,7 @@ def search(text: str) -> tuple[list[Span], list[Span]]:
         tape.rewrite(_spelled_edits(tape.text))
     if _DISGUISE_HINT.search(tape.text):
         tape.rewrite(_disguise_edits(tape.text))
+        tape.rewrite(_dotted_edits(tape.text))
     if tape.starts is None:
         return base, base
     more = []

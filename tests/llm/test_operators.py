@@ -264,6 +264,17 @@ def test_disguised_identifiers_map_back():
     assert any(x[s:e] == "john (at) example (dot) com" for k, s, e in every if k == "email")
 
 
+@pytest.mark.parametrize("kind,part", [("ip", "192[.]168[.]10[.]7"), ("ip", "192 dot 168 dot 10 dot 7"), ("ip", "192.168 (dot) 10 punto 7"), ("email", "anna at firma point com"), ("email", "anna at firma dot gr"), ("email", "anna at mail dot firma dot museum")])
+def test_every_dot_disguise_is_found(kind, part):
+    x = f"write: {part}, soon"
+    assert [(k, x[s:e]) for k, s, e in pii.search(x)[1]] == [(kind, part)]
+
+
+@pytest.mark.parametrize("x", ["we were at this point in time", "it is at boiling point and steams", "look at the dot on it", "set at 12 point type", "1 dot 2 dot 3", "999 dot 1 dot 1 dot 1"])
+def test_prose_is_no_address(x):
+    assert pii.search(x)[1] == []
+
+
 def test_audio_round_trip(spark, sf, texts):
     got = {r.doc_id: r for r in mpeg_audio.op10_mpeg_audio(spark, sf).collect()}
     for i, x in enumerate(texts):
