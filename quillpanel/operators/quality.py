@@ -211,7 +211,10 @@ def clean(df: DataFrame, days: DataFrame, limits: Limits = Limits()) -> tuple[Da
     return winsorise(returns(fixed, limits), limits), audit
 
 
-def wide(panel: DataFrame, names: list[str]) -> DataFrame:
+def wide(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """A column of prices for each of the tickers named, by default for every ticker."""
+    if names is None:
+        names = [r.ticker for r in panel.select("ticker").where("ticker IS NOT NULL").distinct().orderBy("ticker").collect()]
     return panel.groupBy("date").pivot("ticker", names).agg(F.avg("adj_close"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillpanel.functions.rolling import Ewm, average_rank, ewm, kurt, skew
 from quillpanel.operators import features, indicators, membership, quality, reduction, signals
+from quillpanel.plans import queries
 from quillpanel.sources import bars, store
 from quillpanel.streaming.bars import stream_bars
 
@@ -177,3 +178,12 @@ def test_stream_bars_on_a_batch(spark):
     df = spark.createDataFrame([("A", t, 1.0, 2), ("A", t + datetime.timedelta(hours=1), 3.0, 4)], "ticker string, ts timestamp, price double, size long")
     r = stream_bars(df).collect()[0]
     assert (r.open, r.high, r.low, r.close, r.volume) == (1.0, 3.0, 1.0, 3.0, 6)
+
+
+def test_every_ticker_has_its_column(spark):
+    path = "/root/testdata/sf0.001"
+    got = queries.queries()["panel_wide_pivot"](spark, path)
+    tickers = {r.ticker for r in bars.weekly_bars(spark, path).select("ticker").distinct().collect()}
+    assert len(tickers) > 3 and set(got.columns) == {"date", *tickers}
+    cells = got.select(sum(F.count(f"`{t}`") for t in tickers)).first()[0]
+    assert cells == bars.weekly_bars(spark, path).count()
