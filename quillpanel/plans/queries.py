@@ -129,5 +129,5 @@ def queries() -> dict:
         "corr_matrix": lambda s, d: _out(reduction.correlations(_small(s, d), list(SMALL))),
         "corr_pruned": _corr_pruned,
         "top_loadings": _loadings,
-        "snapshot": lambda s, d: store.snapshot(s, f"{d}/region.parquet").select("bytes", "sha256"),
+        "snapshot": lambda s, d: store.snapshot(s, d),
     }

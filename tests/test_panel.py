@@ -1,5 +1,6 @@
 import datetime
 import math
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -187,3 +188,10 @@ def test_every_ticker_has_its_column(spark):
     assert len(tickers) > 3 and set(got.columns) == {"date", *tickers}
     cells = got.select(sum(F.count(f"`{t}`") for t in tickers)).first()[0]
     assert cells == bars.weekly_bars(spark, path).count()
+
+
+def test_snapshot_has_every_file_with_its_rows(spark):
+    path = "/root/testdata/sf0.001"
+    got = {r.file: (r.rows, r.bytes) for r in queries.queries()["snapshot"](spark, path).collect()}
+    files = {str(f.relative_to(path)): f for f in Path(path).rglob("*.parquet")}
+    assert got == {k: (spark.read.parquet(str(f)).count(), f.stat().st_size) for k, f in files.items()}
