@@ -69,7 +69,7 @@ def _second(spark, sf):
 
 
 def _matrix(spark, sf):
-    return features.build_matrix(indicators.add_indicators(bars.weekly_bars(spark, sf)), bars.macro_series(spark, sf), [*features.lag_columns(), "term_spread", "spx_ret_1", *features.INDICATORS])
+    return features.build_matrix(indicators.add_indicators(bars.weekly_bars(spark, sf)), bars.macro_series(spark, sf))
 
 
 SMALL = ("roc_5", "roc_20", "vol_20", "kmid", "klen", "rsv_20", "higap_20", "cntp_20")

@@ -195,3 +195,8 @@ def test_snapshot_has_every_file_with_its_rows(spark):
     got = {r.file: (r.rows, r.bytes) for r in queries.queries()["snapshot"](spark, path).collect()}
     files = {str(f.relative_to(path)): f for f in Path(path).rglob("*.parquet")}
     assert got == {k: (spark.read.parquet(str(f)).count(), f.stat().st_size) for k, f in files.items()}
+
+
+def test_feature_matrix_has_every_feature(spark):
+    got = queries.queries()["feature_matrix"](spark, "/root/testdata/sf0.001")
+    assert set(features.feature_names()) <= set(got.columns)
