@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -61,7 +62,7 @@ def detect(text: str) -> list[Span]:
     """(kind, start, end) of plain identifiers by start, then in the order of KINDS."""
     found = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split(".")):
             found.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -103,6 +104,12 @@ _BARE_DOT = r"(?: dot | punkt | punto | point )"
 #: Words that no host of bare words begins with, and that end none after a bare "point" (as in "at this point in").
 DETERMINERS = frozenset("a an the this that these those which what each every any some one no another his her its my your our their".split())
 FUNCTION_WORDS = DETERMINERS | frozenset("of in on to for from with by at as and or but so if than then when where while who he she it we you they is are was were be been has have had will would can could may might do does did not".split())
+#: Words that announce an address, and hosts of mailboxes.
+CUES = frozenset("mail email e-mail mailto write contact reach address schreiben schreib kontakt adresse anschrift écrire écrivez contacter contactez courriel escribir escriba escribe contacto correo dirección".split())
+MAILBOXES = frozenset("gmail googlemail yahoo hotmail outlook live icloud aol gmx web proton protonmail mail posteo yandex fastmail".split())
+#: Words that stand before "at" in prose.
+BEFORE_AT = FUNCTION_WORDS | frozenset("look looking looked meet me us him them shop buy find found see visit live work working worked stay arrive arrived stop sold online here home only now all available sign hosted".split())
+_CUE = re.compile(r"([^\W\d_-]+(?:-[^\W\d_]+)?)\W{0,3}(?:(?:to|me|us|is|at|an|an uns|à|a|ist|est|es)\W{1,3}){0,2}\Z", re.IGNORECASE)
 #: A disguise must make up a whole address: name, at, label, dot, label.
 _DISGUISED = re.compile(
     rf"(?<![A-Za-z0-9._%+-])(?P<name>{_NAME}(?:(?:\.|{_DOT}|{_BARE_DOT}){_NAME}){{0,4}}?)(?P<at>{_AT}|@| at | arroba | arobase )(?P<host>{_LABEL}(?:(?:{_DOT}|{_BARE_DOT}|\.){_LABEL}){{1,5}})",
@@ -131,8 +138,8 @@ class Tape:
             return
         n = len(self.text)
         if self.starts is None:
-            self.starts, self.ends, self.changed = list(range(n)), list(range(1, n + 1)), bytearray(n)
-        text, starts, ends, changed, at, cut = [], [], [], bytearray(), 0, False
+            self.starts, self.ends, self.changed = array("L", range(n)), array("L", range(1, n + 1)), bytearray(n)
+        text, starts, ends, changed, at, cut = [], array("L"), array("L"), bytearray(), 0, False
         for s, e, new in [*edits, (n, n, "")]:
             text.append(self.text[at:s])
             starts += self.starts[at:s]
@@ -143,8 +150,8 @@ class Tape:
             cut = not new
             if new:
                 text.append(new)
-                starts += [self.starts[s]] * len(new)
-                ends += [self.ends[e - 1]] * len(new)
+                starts += array("L", [self.starts[s]]) * len(new)
+                ends += array("L", [self.ends[e - 1]]) * len(new)
                 changed += b"\1" * len(new)
             at = e
         self.text, self.starts, self.ends, self.changed = "".join(text), starts, ends, changed
@@ -195,6 +202,26 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _announced(text: str, m: re.Match, labels: list[str]) -> bool:
+    """Whether something beside the words "at" and "dot" speaks for an address.
+
+    A name of several parts or with a digit or sign; a mailbox's host after no word of prose; a colon,
+    bracket or quote before the name; or a word such as "mail" or "write to".
+    """
+    name = m["name"]
+    if re.search(r"[0-9._%+-]", name) or _ANY_DOT.search(name):
+        return True
+    if name.lower() in BEFORE_AT:
+        return False
+    if labels[0] in MAILBOXES:
+        return True
+    before = text[max(0, m.start() - 40) : m.start()]
+    if re.search(r"[:(<\[\"'„“«]\s?\Z", before):
+        return True
+    cue = _CUE.search(before)
+    return cue is not None and cue[1].lower() in CUES
+
+
 def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _DISGUISED.finditer(text):
@@ -204,9 +231,12 @@ def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
             continue  # plain, or only the word "at"
         labels = re.split(r"\.|" + _ANY_DOT.pattern, m["host"].lower())
         last = labels[-1]
-        bare = any(x != "@" and x.strip()[0] not in "[({<" for x in marks)
+        bare_marks = [x for x in marks if x != "@" and x.strip()[0] not in "[({<"]
+        bare = bool(bare_marks)
         if len(last) < 2 or not last.isalpha() or bare and labels[0] in DETERMINERS:
             continue
+        if bare and len(bare_marks) == len(marks) and not _announced(text, m, labels):
+            continue
         if any(x.lower() == " point " for x in marks) and (last in FUNCTION_WORDS or labels[0].isdigit()):
             continue
         s = m.start("name")
