@@ -184,28 +184,55 @@ def _vbr(data: bytes, at: int, h: Header, out: Stream) -> bool:
     return False
 
 
-def parse(data: bytes) -> Stream:
-    out, at, end = Stream(), 0, len(data)
-    if end >= 128 and data[-128:-125] == b"TAG":
+def _tail_tags(data: bytes) -> list[tuple[str, int, int]]:
+    """(name, start, end) of what looks like tags at the end, the foremost first."""
+    found, end = [], len(data)
+    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
+        found.append(("ID3v1", end - 128, end))
         end -= 128
-        out.tags["ID3v1"] = data[end:]
     if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
         size = int.from_bytes(data[end - 20 : end - 16], "little")
-        has_header = data[end - 9] & 0x80
-        out.tags["APE"] = data[max(0, end - size) : end]
-        end = max(0, end - size - (32 if has_header else 0))
+        start = end - size - (32 if data[end - 9] & 0x80 else 0)
+        if size >= 32 and start >= 0:
+            found.append(("APE", start, end))
+    return found[::-1]
+
+
+def parse(data: bytes) -> Stream:
+    """The stream's frames and tags.
+
+    Bytes that look like a tag at the end are one only if no frame lies over their start: a frame
+    that ends where the next one or the data's end is keeps what it holds, whatever it looks like.
+    """
+    out, at, n = Stream(), 0, len(data)
+    tags = _tail_tags(data)
+    end = tags[0][1] if tags else n
     last = None  # the last header: its like needs no successor to be believed
-    while at + 4 <= end:
+    while at + 4 <= n:
+        while tags and at > tags[0][1]:  # a frame lies over its start
+            tags.pop(0)
+            end = tags[0][1] if tags else n
+        if tags and at == end:
+            for name, start, stop in tags:
+                out.tags[name] = data[start:stop]
+            at = n
+            break
         if data[at : at + 3] == b"ID3" and at + 10 <= end:
-            at = _id3v2(data, at, out.tags)
+            at = _id3v2(data[:end], at, out.tags)
             continue
         h = header(data[at : at + 4])
-        if h is not None and at + h.length <= end and not (last is not None and _alike(h, last)):
-            follows = header(data[at + h.length : at + h.length + 4]) if at + h.length + 4 <= end else h
-            h = h if follows is not None and _alike(h, follows) else None
-        if h is None or at + h.length > end:
+        if h is not None:
+            stop = at + h.length
+            follows = header(data[stop : stop + 4]) if stop + 4 <= n else None
+            joined = follows is not None and _alike(h, follows)
+            if stop > end:  # over a tag's start
+                whole = stop <= n and (joined or stop == n)
+            else:
+                whole = last is not None and _alike(h, last) or joined or stop + 4 > end
+            h = h if whole else None
+        if h is None:
             step = data.find(b"\xff", at + 1, end)
-            step = end if step < 0 else step
+            step = (end if at < end else n) if step < 0 else step
             out.skipped += step - at
             at, last = step, None
             continue
@@ -224,7 +251,7 @@ def parse(data: bytes) -> Stream:
                     out.damaged.append(at)
             out.bodies.append(body + (h.side if h.layer == 3 else 0))
         at += h.length
-    out.skipped += max(0, end - at)
+    out.skipped += max(0, n - at)
     return out
 
 
@@ -300,12 +327,12 @@ def feature(stream: Stream) -> str:
     )
 
 
-RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_samples long"
+RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_samples long, sample_rate long, seek_offsets array<long>"
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in RESULT.split(", ")]
-    types = [pa.string() if c.endswith("string") else pa.int64() for c in RESULT.split(", ")]
+    types = [pa.string() if c.endswith("string") else pa.list_(pa.int64()) if c.endswith("array<long>") else pa.int64() for c in RESULT.split(", ")]
     for batch in batches:
         rows = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -313,7 +340,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = store(padded(data))
             stream = parse(media)
             back = payload_of(media, stream)
-            rows.append((doc, len(data), len(back), sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), sha256(media).hexdigest(), feature(stream), len(stream.offsets), stream.duration))
+            rows.append((doc, len(data), len(back), sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), sha256(media).hexdigest(), feature(stream), len(stream.offsets), stream.duration, stream.rate, stream.offsets))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
