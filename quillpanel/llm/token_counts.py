@@ -4,8 +4,10 @@ A text falls into pre-tokens: an optional blank with the run of other characters
 blank or line end. Distinct pre-tokens enter a trie, and every node holds the forward score of its
 prefix - the best segmentation's log-probability and its number of pieces - computed from the nodes
 above it. So a prefix that many pre-tokens share is scored once, and a pre-token's count is its last
-node's. Counts stay where the text is: no row is shuffled. A worker's trie is bounded and starts anew
-when full, which changes no count.
+node's. Counts stay where the text is: no row is shuffled. A worker's trie and its table of known
+pre-tokens are bounded by nodes and characters and start anew when full, which changes no count; what
+a pre-token has beyond DEPTH characters is scored from the same forward scores without being kept, so
+memory follows neither the corpus nor the length of a pre-token.
 
 The pieces are those of a public vocabulary; a piece's probability falls with its rank r as 1 / (r + 1)
 (the file's own scores are ranks, not probabilities). A character without a piece costs one piece for
@@ -28,12 +30,15 @@ from pyspark.sql import functions as F
 from .common import documents, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Nodes of a worker's trie, and characters beyond which a pre-token is scored without entering it.
-NODES, LONG = 1_000_000, 256
+#: Nodes of a worker's trie and characters of its known pre-tokens, and the depth to which one enters the trie.
+NODES, KNOWN, DEPTH = 1_000_000, 8_000_000, 256
+#: Characters of a text that are split at a time, and forward scores that are held beyond the trie.
+SLICE, HELD = 1 << 20, 1 << 13
 #: What a byte of a character without a piece costs beyond the rarest piece.
 BYTE_PENALTY = 10.0
 
 PRE_TOKEN = re.compile(r" ?[^ \n]+|[ \n]")
+_BLANK = re.compile(r"[ \n]")
 
 
 def pieces(path: str) -> dict[str, float]:
@@ -50,9 +55,10 @@ def pieces(path: str) -> dict[str, float]:
 
 
 class Unigrams:
-    def __init__(self, scores: dict[str, float], nodes: int = NODES):
-        self.scores, self.limit = scores, nodes
+    def __init__(self, scores: dict[str, float], nodes: int = NODES, known: int = KNOWN, depth: int = DEPTH):
+        self.scores, self.limit, self.room, self.depth = scores, nodes, known, depth
         self.byte = min(scores.values()) - BYTE_PENALTY
+        self.longest = max(map(len, scores))
         ends: dict[str, set[int]] = {}
         for p in scores:
             ends.setdefault(p[-2:], set()).add(len(p))
@@ -65,21 +71,21 @@ class Unigrams:
         self.best: list[float] = [0.0]
         self.count: list[int] = [0]
         self.known: dict[str, tuple[int, float]] = {}
+        self.held = 0
 
-    def _step(self, word: str, i: int, best: list[float], count: list[int], at: list[int] | None) -> tuple[float, int]:
-        """The forward score and count of word[:i], where at gives the places of its prefixes."""
+    def _step(self, word: str, i: int, best: list[float], count: list[int], gone: int) -> tuple[float, int]:
+        """The forward score and count of word[:i] from those of its prefixes, of which the first ones are gone."""
         c = word[i - 1]
         found, pieces_ = -math.inf, 0
         if c not in self.scores:
             n = len(c.encode("utf-8", "surrogatepass"))
-            p = i - 1 if at is None else at[i - 1]
-            found, pieces_ = best[p] + n * self.byte, count[p] + n
+            found, pieces_ = best[i - 1 - gone] + n * self.byte, count[i - 1 - gone] + n
         for n in (*(self.lengths.get(c, ())), *(self.lengths.get(word[i - 2 : i], ()) if i > 1 else ())):
             if n > i:
                 break
             score = self.scores.get(word[i - n : i])
             if score is not None:
-                p = i - n if at is None else at[i - n]
+                p = i - n - gone
                 score += best[p]
                 if score > found or score == found and count[p] + 1 < pieces_:
                     found, pieces_ = score, count[p] + 1
@@ -87,37 +93,50 @@ class Unigrams:
 
     def _score(self, word: str) -> tuple[int, float]:
         word = word.replace(" ", "▁")
-        if len(word) > LONG:
-            best, count = [0.0], [0]
-            for i in range(1, len(word) + 1):
-                b, n = self._step(word, i, best, count, None)
-                best.append(b)
-                count.append(n)
-            return count[-1], best[-1]
-        child, best, count = self.child, self.best, self.count
-        at, node = [0], 0
-        for i, c in enumerate(word, 1):
+        child, best, count, depth = self.child, self.best, self.count, self.depth
+        b, n, gone = [0.0], [0], 0  # of the prefixes of this word
+        node = 0
+        for i, c in enumerate(word[:depth], 1):
             below = child.get((node, c))
             if below is None:
-                b, n = self._step(word, i, best, count, at)
+                score, pieces_ = self._step(word, i, b, n, 0)
                 below = child[node, c] = len(best)
-                best.append(b)
-                count.append(n)
+                best.append(score)
+                count.append(pieces_)
             node = below
-            at.append(node)
-        return count[node], best[node]
-
-    def measure(self, text: str) -> tuple[int, int, float]:
+            b.append(best[node])
+            n.append(count[node])
+        for i in range(depth + 1, len(word) + 1):
+            score, pieces_ = self._step(word, i, b, n, gone)
+            b.append(score)
+            n.append(pieces_)
+            if len(b) > HELD + self.longest:
+                del b[:HELD], n[:HELD]
+                gone += HELD
+        return n[-1], b[-1]
+
+    def measure(self, text: str, size: int = SLICE) -> tuple[int, int, float]:
         """(pre-tokens, tokens, log-probability of the best segmentation)."""
-        if not text:
-            return 0, 0, 0.0
-        words, known = PRE_TOKEN.findall(" " + text), self.known
-        for word in {w for w in words if w not in known}:
-            known[word] = self._score(word)
-        found = [known[w] for w in words]
-        if len(self.best) > self.limit:
-            self._clear()
-        return len(words), sum(n for n, _ in found), math.fsum(s for _, s in found)
+        n_words, n_tokens, parts = 0, 0, []
+        text = " " + text if text else ""
+        at, end = 0, len(text)
+        while at < end:
+            cut = min(end, at + size)
+            if cut < end:  # a blank or line end always starts a pre-token
+                m = _BLANK.search(text, cut)
+                cut = m.start() if m else end
+            words, known = PRE_TOKEN.findall(text, at, cut), self.known
+            for word in {w for w in words if w not in known}:
+                known[word] = self._score(word)
+                self.held += len(word)
+            found = [known[w] for w in words]
+            if len(self.best) > self.limit or self.held > self.room:
+                self._clear()
+            n_words += len(words)
+            n_tokens += sum(n for n, _ in found)
+            parts.append(math.fsum(s for _, s in found))
+            at = cut
+        return n_words, n_tokens, math.fsum(parts)
 
 
 _models: dict[str, Unigrams] = {}
