@@ -11,7 +11,9 @@ BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 header footer nav aside ul ol li dl dt dd table caption thead tbody tfoot tr td th "
     "blockquote pre figure figcaption form fieldset legend select option button details summary address dialog menu hgroup center search iframe object".split()
 )
-SILENT = frozenset("script style noscript template head title svg math textarea audio video canvas datalist".split())
+SILENT = frozenset("script style noscript template head title svg textarea audio video canvas datalist".split())
+#: Silent elements that, left open, last to the end of the page; others then last to the next block's tag.
+RAW = frozenset("script style".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param frame".split())
 #: What an opening tag closes, if it is open nearer than any of the fences.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -23,6 +25,7 @@ NOT_IN_P = BLOCKS - {"button", "select", "option", "iframe", "object", "html", "
 
 _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
 _REST = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
+_NEXT_BLOCK = re.compile(r"</?(?:" + "|".join(sorted(BLOCKS)) + r")\b", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 
 
@@ -56,26 +59,28 @@ def parse(page: str) -> list[Node]:
     run: list[tuple[str, bool]] = []
     links = 0
 
+    open_at: dict[str, list[int]] = {}  # where in the stack each tag is open
+    unclosed: set[str] = set()  # silent elements without an end tag further on
+
     def flush():
         if run:
-            text = " ".join(unescape("".join(t for t, _ in run)).split())
+            pieces = [(unescape(t), inside) for t, inside in run]
+            text = " ".join("".join(t for t, _ in pieces).split())
             if text:
-                linked = sum(len("".join(unescape(t).split())) for t, inside in run if inside)
+                linked = sum(len("".join(t.split())) for t, inside in pieces if inside)
                 nodes.append(Node("", stack[-1], len(stack), "", text, linked, ""))
             run.clear()
 
-    def open_tags():
-        return [nodes[i].tag for i in stack]
+    def nearest(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
     def pop_to(tags, fences) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[k]].tag
-            if tag in tags:
-                flush()
-                del stack[k:]
-                return
-            if tag in fences:
-                return
+        k = nearest(tags)
+        if k and k >= nearest(fences):
+            flush()
+            for i in stack[k:]:
+                open_at[nodes[i].tag].pop()
+            del stack[k:]
 
     at, end = 0, len(page)
     while True:
@@ -106,11 +111,16 @@ def parse(page: str) -> list[Node]:
                 run.append((" ", False))
         elif tag in SILENT:
             if not closing and page[at - 2 : at] != "/>":
-                gone = re.compile(rf"</{tag}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)", re.IGNORECASE).search(page, at)
+                gone = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)", re.IGNORECASE).search(page, at)
                 if gone is not None:
                     at = gone.end()
-                elif tag not in ("head", "noscript", "title"):
+                    continue
+                unclosed.add(tag)
+                if tag in RAW:
                     at = end
+                elif tag not in ("head", "noscript", "title"):
+                    block = _NEXT_BLOCK.search(page, at)
+                    at = end if block is None else block.start()
         elif tag not in BLOCKS:
             if tag == "a":
                 links = 0 if closing else 1
@@ -122,7 +132,7 @@ def parse(page: str) -> list[Node]:
             flush()
             if tag in ("html", "body"):
                 names, mark = _attributes(page[m.end() : at])
-                if tag == "html" or "body" in open_tags():
+                if tag == "html" or open_at.get("body"):
                     continue
             else:
                 names, mark = _attributes(page[m.end() : at])
@@ -133,6 +143,7 @@ def parse(page: str) -> list[Node]:
                 if tag[0] == "h" and tag[1:].isdigit() and nodes[stack[-1]].tag[1:].isdigit():
                     pop_to({nodes[stack[-1]].tag}, set())
             nodes.append(Node(tag, stack[-1], len(stack), names, "", 0, mark))
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append(len(nodes) - 1)
     flush()
     return nodes
