@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def _least(edges: DataFrame, of: str, other: str) -> DataFrame:
@@ -33,4 +33,6 @@ def components(links: DataFrame) -> DataFrame:
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before or state[0] == 0:
             return edges
-        edges, before = durable(_round(edges)), state
+        after = durable(_round(edges))
+        discard(edges.sparkSession, [edges.durable_path])
+        edges, before = after, state

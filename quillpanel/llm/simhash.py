@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import documents, durable
+from .common import discard, documents, durable, word_slices
 from .components import components
 
 SHINGLE, SEED, LINK_BITS = 3, 42, 2
@@ -35,21 +35,37 @@ NEIGHBOURS = ((1, 2), (0, 2), (0, 1))
 CAP = 64
 
 
+#: Hashes whose bits are counted at a time: 64 bytes each.
+COUNTED = 1 << 16
+
+
+def _bit_counts(hashes: list[bytes]) -> np.ndarray:
+    """How many of the hashes have each bit set, the highest bit first."""
+    total = np.zeros(64, dtype=np.int64)
+    for s in range(0, len(hashes), COUNTED):
+        part = np.frombuffer(b"".join(hashes[s : s + COUNTED]), dtype=np.uint8)
+        n = len(part) // 8
+        lanes = np.unpackbits(part).view(np.uint64).reshape(n, 8)  # eight counters to a lane of 64 bits
+        total += np.add.reduceat(lanes, np.arange(0, n, 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return total
+
+
 def fingerprint(data: bytes) -> int:
     """The unsigned fingerprint of a text's UTF-8 bytes."""
     from xxhash import xxh64_digest
 
-    words = data.lower().split()  # of bytes: A-Z alone, and blanks 9 to 13 and 32 alone
-    if not words:
-        return 0
-    if len(words) <= SHINGLE:
-        shingles = [b" ".join(words)]
-    else:
+    counts, n, few = np.zeros(64, dtype=np.int64), 0, []
+    for words in word_slices(data, SHINGLE - 1):
+        if len(words) < SHINGLE:
+            few = words
+            continue
         shingles = list(map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)))))
-    n = len(shingles)
-    hashes = np.frombuffer(b"".join([xxh64_digest(x, SEED) for x in shingles]), dtype=np.uint8)
-    lanes = np.unpackbits(hashes).view(np.uint64).reshape(n, 8)  # eight counters to a lane of 64 bits
-    counts = np.add.reduceat(lanes, np.arange(0, n, 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        counts += _bit_counts([xxh64_digest(x, SEED) for x in shingles])
+        n += len(shingles)
+    if not n:
+        if not few:
+            return 0
+        counts, n = _bit_counts([xxh64_digest(b" ".join(few), SEED)]), 1
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
