@@ -4,10 +4,14 @@ Suffixes are sorted one bucket at a time (suffix_sort.py). So that equal strings
 without every position being shuffled, a bucket holds the suffixes whose next 200 bytes have the same
 least 32-byte gram: strings that are equal choose the same gram at the same place. Consecutive
 suffixes of a document with one gram form a run, about one for every 85 bytes, and only the runs'
-hashes are shuffled. Runs that are equal as a whole are repeated as a whole and need no sorting. The
-text of one run of each kind is fetched only where different runs share a gram, and those buckets are
-sorted. A bucket of more than CROWD different runs is settled by the hashes of its single strings,
-which are counted before they are shuffled.
+hashes are shuffled. Of runs that are equal as a whole one goes into its bucket, with the number that
+it stands for; its bucket's sorted order decides which of its strings are repeated, and that verdict
+goes back to all of them. So every removed byte comes from the sort.
+
+A bucket of more than CROWD different runs is cut by its next bytes: strings that have the gram at
+nearly the same place share more bytes than the gram, and a hash of all that they share names the
+finer bucket. At the finest cut a bucket holds the copies of one string alone, so a bucket's memory is
+bounded whatever the corpus holds.
 
 Defined cases: a null text counts as empty; repeated rows are documents of their own and so repeat
 each other; a document under 200 bytes keeps all; where a removed run cuts a character in two, the
@@ -24,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, fresh
+from .common import documents, durable, row_keys
 from .suffix_sort import Block
 
 SPAN = 200
 GRAM = 32
 #: Positions handled at a time within a document; the low bits of a gram's order break ties leftmost.
 PART_BITS = 22
-#: Different runs of one gram that are sorted in one bucket, and bytes of the buckets of one block.
-CROWD, BLOCK_BYTES = 20_000, 1 << 20
+#: Different runs that are sorted in one bucket, and bytes of the buckets of one block.
+CROWD, BLOCK_BYTES = 4096, 1 << 20
+#: Parts into which a crowded bucket's runs are cut; the finest has a part for each place of the gram.
+CUTS = (8, SPAN - GRAM + 1)
 #: Keys that a join spreads (any other has at most a 1,000th of the rows), and tasks for each of them.
 HOT, SALTS = 1000, 64
 
@@ -78,6 +84,16 @@ def runs(data: bytes, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def _gram_counts(span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [runs(data.as_py(), span)[0] for data in batch.column("text")]
+            gram, uses = np.unique(np.concatenate(grams or [np.zeros(0, dtype=np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(uses, pa.int64())], ["gram", "uses"])
+
+    return run
+
+
 def _run_rows(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
@@ -115,31 +131,46 @@ def _unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data) if data else b""
 
 
-def _fetch(span: int, crowd: int):
-    """Texts of the wanted runs (kind 0); for crowded buckets hashes of their single strings (kind 1)."""
+PIECE = "bucket long, gram long, whole long, rel long, n long, origin int, data binary"
+_PIECE_TYPES = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+_PIECE_NAMES = [c.split()[0] for c in PIECE.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
 
-        names = ["gram", "single", "ka", "kb", "place", "data"]
+def _pieces(span: int, cut: int):
+    """Pieces of the wanted runs: of each run the string starts that have the gram in one of cut ranges of places.
+
+    With one cut a piece is the run and its bucket is the gram's. Else the bucket is named by all bytes
+    that any two strings of such a piece would share if they were equal.
+    """
+    width = -(-(span - GRAM + 1) // cut)
+
+    def cut_up(data: bytes, w: dict) -> Iterator[tuple]:
+        from xxhash import xxh3_64_intdigest
+
+        s = w["place"] >> 16
+        e, at = s + (w["place"] >> 8 & 255), s + (w["place"] & 255)
+        if cut == 1:
+            yield w["gram"], w["gram"], w["whole"], 0, w["n"], at - s, data[s : e + span]
+            return
+        for part in range(cut):
+            lo, hi = max(s, at - (part + 1) * width + 1), min(e, at - part * width)
+            if lo <= hi:
+                bucket = xxh3_64_intdigest(data[at - part * width : at - (part + 1) * width + 1 + span], part)
+                yield bucket - (1 << 64) if bucket >> 63 else bucket, w["gram"], w["whole"], lo - s, w["n"], at - lo, data[lo : hi + span]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for ka, kb, text, wanted in zip(*(batch.column(c) for c in ("ka", "kb", "text", "wanted"))):
-                ka, kb, data = ka.as_py(), kb.as_py(), _unpacked(text.as_py())
+            for text, wanted in zip(batch.column("text"), batch.column("wanted")):
+                data = _unpacked(text.as_py())
                 for w in wanted.as_py():
-                    place, s = w["place"], w["place"] >> 16
-                    e = s + (place >> 8 & 255)
-                    if w["kinds"] <= crowd:
-                        rows.append((w["gram"], w["single"], ka, kb, place, data[s : e + span]))
-                    else:
-                        rows += [(None, w["single"], ka, kb, p, xxh3_128_digest(data[p : p + span])) for p in range(s, e + 1)]
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                    rows = []
+                    rows += cut_up(data, w)
+                    if len(rows) > 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE_TYPES)], _PIECE_NAMES)
+                        rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE_TYPES)], _PIECE_NAMES)
 
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return run
 
 
@@ -149,21 +180,25 @@ def _spans_of(positions: np.ndarray, span: int) -> list[tuple[int, int]]:
     return list(zip(positions[np.concatenate([[0], cut + 1])].tolist(), (positions[np.concatenate([cut, [len(positions) - 1]])] + span).tolist()))
 
 
+VERDICT = "gram long, whole long, rel long, n long, spans array<struct<lo: long, hi: long>>"
+_SPAN_LIST = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+
+
 def _sort_buckets(span: int, block_bytes: int):
-    """Rows in order of gram: whole buckets are gathered into a block and sorted."""
+    """Pieces in order of bucket: whole buckets are gathered into a block and sorted; a row per piece with repeated strings."""
 
-    def settled(rows):
-        block = Block([r[5] for r in rows], [r[4] & 255 for r in rows])
-        at, owner = block.repeated(span)
+    def settled(rows: list[tuple]) -> list[tuple]:
+        numbers = {b: i for i, b in enumerate(dict.fromkeys(r[0] for r in rows))}
+        block = Block([r[6] for r in rows], [r[5] for r in rows], [numbers[r[0]] for r in rows])
+        at, owner = block.repeated(span, np.array([r[4] for r in rows], dtype=np.int64))
         order = np.lexsort((at, owner))
         at, owner = at[order], owner[order]
-        ends = np.flatnonzero(np.concatenate([owner[1:] != owner[:-1], [True]])) if len(at) else []
-        s = 0
-        for e in ends:
-            _, single, ka, kb, place, _ = rows[int(owner[s])]
-            if single:  # the others are repeated as a whole
-                yield from ((ka, kb, (place >> 16) + lo, (place >> 16) + hi) for lo, hi in _spans_of(at[s : e + 1], span))
+        out, s = [], 0
+        for e in np.flatnonzero(np.concatenate([owner[1:] != owner[:-1], [True]])).tolist() if len(at) else []:
+            _, gram, whole, rel, n, *_ = rows[int(owner[s])]
+            out.append((gram, whole, rel, n, [{"lo": lo, "hi": hi} for lo, hi in _spans_of(at[s : e + 1], span)]))
             s = e + 1
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple] = []
@@ -171,58 +206,90 @@ def _sort_buckets(span: int, block_bytes: int):
         size = 0
 
         def found(rows):
-            out = list(settled(rows))
-            return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["ka", "kb", "lo", "hi"])] if out else []
+            out = settled(rows)
+            types = [pa.int64()] * 4 + [_SPAN_LIST]
+            return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["gram", "whole", "rel", "n", "spans"])] if out else []
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for row in zip(*(batch.column(c).to_pylist() for c in _PIECE_NAMES)):
                 if bucket and row[0] != bucket[0][0]:
-                    block, bucket = block + bucket, []
+                    block += bucket
+                    bucket = []
                     if size > block_bytes:
                         yield from found(block)
                         block, size = [], 0
                 bucket.append(row)
-                size += len(row[5])
+                size += len(row[6])
         if block or bucket:
             yield from found(block + bucket)
 
     return run
 
 
-def _spread_join(many: DataFrame, few: DataFrame, key: str, weight: str) -> DataFrame:
+def _spread_join(many: DataFrame, few: DataFrame, keys: list[str], weight: str, salt: Column) -> DataFrame:
     """many joined to few (one row a key, weight its rows in many); the heaviest keys are salted.
 
-    What is broadcast are the HOT heaviest keys at most, whatever the size of few.
+    What is broadcast are the HOT heaviest keys at most, whatever the size of few. They are picked
+    once and written, so that both sides salt the same keys even if a task runs again.
     """
-    hot = F.broadcast(few.orderBy(F.desc(weight)).limit(HOT).select(key, F.lit(True).alias("hot")))
-    salt = F.pmod(F.xxhash64("ka", "kb", "place"), F.lit(SALTS)) if "place" in many.columns else F.pmod(F.xxhash64("one"), F.lit(SALTS))
-    left = many.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(0)).drop("hot")
+    hot = durable(few.orderBy(F.desc(weight), *keys).limit(HOT).select(*keys, F.lit(True).alias("hot")))
+    left = many.join(F.broadcast(hot), keys, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(salt, F.lit(SALTS))).otherwise(0)).drop("hot")
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).otherwise(F.array(F.lit(0).cast("long")))
-    right = few.join(hot, key, "left").withColumn("salt", F.explode(salts)).drop("hot")
-    return left.join(right, [key, "salt"]).drop("salt")
+    right = few.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(salts)).drop("hot")
+    return left.join(right, [*keys, "salt"]).drop("salt")
+
+
+def _fetched(rows: DataFrame, kinds: DataFrame, span: int, cut: int) -> DataFrame:
+    """The pieces of one run of each of the kinds (gram, whole, n, one)."""
+    wanted = kinds.groupBy("one.ka", "one.kb").agg(F.collect_list(F.struct("gram", "whole", "n", F.col("one.place").alias("place"))).alias("wanted"))
+    return _text(rows.select("ka", "kb", "text")).join(wanted, ["ka", "kb"]).select("text", "wanted").mapInArrow(_pieces(span, cut), PIECE)
+
+
+def _sorted(pieces: DataFrame, span: int, block_bytes: int) -> DataFrame:
+    return pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(span, block_bytes), VERDICT)
+
+
+def _cut_verdicts(rows: DataFrame, kinds: DataFrame, span: int, cut: int, block_bytes: int) -> DataFrame:
+    """Verdicts on crowded kinds by buckets of their pieces; equal pieces go into a bucket as one."""
+    pieces = durable(_fetched(rows, kinds, span, cut).withColumn("same", F.xxhash64("data")))
+    one = F.min(F.struct("gram", "whole", "rel", "origin", "data")).alias("one")
+    distinct = pieces.groupBy("bucket", "same").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("members"), one)
+    # A piece is known by its bucket and hash from here on.
+    alone = distinct.select("bucket", F.col("bucket").alias("gram"), F.col("same").alias("whole"), F.lit(0).cast("long").alias("rel"), "n", "one.origin", "one.data")
+    found = _sorted(alone, span, block_bytes).select(F.col("gram").alias("bucket"), F.col("whole").alias("same"), "spans")
+    weighed = durable(found.join(distinct.select("bucket", "same", "members"), ["bucket", "same"]))
+    back = _spread_join(pieces.select("bucket", "same", "gram", "whole", "rel"), weighed, ["bucket", "same"], "members", F.xxhash64("gram", "whole", "rel"))
+    moved = F.transform("spans", lambda x: F.struct((x["lo"] + F.col("rel")).alias("lo"), (x["hi"] + F.col("rel")).alias("hi")))
+    return back.groupBy("gram", "whole").agg(F.flatten(F.collect_list(moved)).alias("spans"))
 
 
 def repeated_spans(rows: DataFrame, span: int = SPAN, crowd: int = CROWD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(ka, kb, spans): for each row key of rows (ka, kb, text binary, ...) its covered spans, unmerged."""
-    made = rows.select("ka", "kb", "text").mapInArrow(_run_rows(span), "gram long, whole long, ka long, kb long, place long")
     # Grams that occur once are most of all; they go before anything but the gram is shuffled with them.
-    shared = made.groupBy("gram").agg(F.count("*").alias("uses")).where("uses > 1")
-    hits = durable(_spread_join(made, shared, "gram", "uses").select(F.struct("gram", "whole").alias("kind"), "ka", "kb", "place"))
-    kinds = hits.groupBy("kind").agg(F.count("*").alias("n"), F.min(F.struct("ka", "kb", "place")).alias("one"))
-    whole = _spread_join(hits, kinds.where("n > 1").select("kind", "n"), "kind", "n").select("ka", "kb", F.expr("shiftright(place, 16)").alias("lo"), F.expr(f"shiftright(place, 16) + (shiftright(place, 8) & 255) + {span}").alias("hi"))
-
-    kinds = kinds.select(F.col("kind.gram").alias("gram"), "n", "one")
-    mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = _spread_join(kinds, mixed, "gram", "kinds").select("one.ka", "one.kb", F.struct("gram", "one.place", "kinds", (F.col("n") == 1).alias("single")).alias("w"))
-    wanted = wanted.groupBy("ka", "kb").agg(F.collect_list("w").alias("wanted"))
-    fetched = _text(rows).join(wanted, ["ka", "kb"]).select("ka", "kb", "text", "wanted").mapInArrow(_fetch(span, crowd), "gram long, single boolean, ka long, kb long, place long, data binary")
-    sorted_out = fetched.where("gram IS NOT NULL").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort_buckets(span, block_bytes), "ka long, kb long, lo long, hi long")
-    strings = fetched.where("gram IS NULL")
-    again = strings.groupBy("data").agg(F.count("*").alias("n")).where("n > 1").select("data")
-    crowded = strings.where("single").join(again, "data").select("ka", "kb", F.col("place").alias("lo"), (F.col("place") + span).alias("hi"))
-
-    spans = whole.unionByName(sorted_out).unionByName(crowded)
-    return spans.groupBy("ka", "kb").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    uses = rows.select("text").mapInArrow(_gram_counts(span), "gram long, uses long")
+    shared = durable(uses.groupBy("gram").agg(F.sum("uses").alias("uses")).where("uses > 1"))
+    made = rows.select("ka", "kb", "text").mapInArrow(_run_rows(span), "gram long, whole long, ka long, kb long, place long")
+    salt = F.xxhash64("ka", "kb", "place")
+    hits = durable(_spread_join(made, shared, ["gram"], "uses", salt).select("gram", "whole", "ka", "kb", "place"))
+    kinds = durable(hits.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("ka", "kb", "place")).alias("one")))
+    crowded = durable(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > crowd))
+
+    verdicts, left = None, kinds
+    if not crowded.isEmpty():
+        left = kinds.join(crowded, "gram", "left_anti")
+        busy = durable(_spread_join(kinds, crowded, ["gram"], "kinds", F.xxhash64("whole")))
+        # The first cut makes buckets that many times finer at least where the texts around the gram differ.
+        for cut, most in zip(CUTS, (crowd * CUTS[0], None)):
+            some = busy.where(F.col("kinds") <= most) if most else busy.where(F.col("kinds") > crowd * CUTS[0])
+            found = _cut_verdicts(rows, some, span, cut, block_bytes)
+            verdicts = found if verdicts is None else verdicts.unionByName(found)
+    plain = _sorted(_fetched(rows, left, span, 1), span, block_bytes).select("gram", "whole", "n", "spans")
+    if verdicts is not None:
+        plain = plain.unionByName(verdicts.join(kinds.select("gram", "whole", "n"), ["gram", "whole"]))
+    plain = durable(plain)
+    start = F.shiftright("place", 16)
+    moved = F.transform("spans", lambda x: F.struct((x["lo"] + start).alias("lo"), (x["hi"] + start).alias("hi")))
+    return _spread_join(hits, plain, ["gram", "whole"], "n", salt).groupBy("ka", "kb").agg(F.flatten(F.collect_list(moved)).alias("spans"))
 
 
 def _text(rows: DataFrame) -> DataFrame:
@@ -255,14 +322,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 4 + (pa.string(),))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _row_keys(text: Column, *others: Column) -> tuple[Column, Column]:
-    """Two hashes that tell rows apart; rows alike in all that is hashed are cut alike."""
-    return F.xxhash64(F.lit(1), *others, text), F.xxhash64(text, *others, F.lit(2))
-
-
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    ka, kb = _row_keys(text, F.col("doc_id"))
+    ka, kb = row_keys([F.col("doc_id"), text])
     rows = documents(spark, sf_dir).select(ka.alias("ka"), kb.alias("kb"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     spans = repeated_spans(rows)
     joined = _text(rows).join(spans, ["ka", "kb"], "left").select("doc_id", "text", "spans")
@@ -283,7 +345,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c != text]
     plain = [F.col(f"`{c}`") for c, t in docs.dtypes if c != text and not t.startswith(("map", "struct", "array", "variant"))]
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    ka, kb = _row_keys(body, *plain)
+    ka, kb = row_keys([*plain, body])
     names = [f"c{i}" for i in range(len(others))]
     rows = docs.select(ka.alias("ka"), kb.alias("kb"), *(F.col(f"`{c}`").alias(n) for c, n in zip(others, names)), F.col(text).isNull().alias("none"), body.alias("text"))
     joined = _text(rows).join(repeated_spans(rows), ["ka", "kb"], "left").drop("ka", "kb")

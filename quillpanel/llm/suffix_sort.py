@@ -37,27 +37,50 @@ def _words(buffer: np.ndarray, at: np.ndarray, count: int) -> np.ndarray:
     return np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
 
 
-def _ranks(keys: list[np.ndarray]) -> np.ndarray:
-    """Dense ranks of rows, the first key most significant."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), dtype=bool)
+def _ranks(bucket: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """For each row how many rows are less, by bucket and then by the keys in turn; buckets are in order.
+
+    A key is looked at only where rows are equal by what came before it.
+    """
+    n = len(bucket)
+    order = np.arange(n)
+    new = np.ones(n, dtype=bool)
+    new[1:] = bucket[1:] != bucket[:-1]
+    first = np.flatnonzero(new)
+    rank = np.repeat(first, np.diff(np.append(first, n)))
     for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    out = np.empty(len(order), dtype=np.int64)
-    out[order] = np.cumsum(new)
-    return out
+        by = rank[order]
+        same = np.zeros(n, dtype=bool)
+        same[1:] = by[1:] == by[:-1]
+        same[:-1] |= same[1:]
+        place = np.flatnonzero(same)
+        if not len(place):
+            break
+        rows, before = order[place], by[place]
+        own = k[rows]
+        inner = np.lexsort((own, before))
+        rows, before, own = rows[inner], before[inner], own[inner]
+        order[place] = rows
+        new = np.ones(len(rows), dtype=bool)
+        new[1:] = (before[1:] != before[:-1]) | (own[1:] != own[:-1])
+        first = np.flatnonzero(new)
+        rank[rows] = np.repeat(place[first], np.diff(np.append(first, len(rows))))
+    return rank
 
 
 class Block:
-    """Texts laid end to end; origin[i] is the place in text i whose offsets count as 0 modulo PERIOD."""
+    """Texts laid end to end; origin[i] is the place in text i whose offsets count as 0 modulo PERIOD.
 
-    def __init__(self, texts: list[bytes], origins: list[int]):
+    buckets[i] is the bucket of text i, never falling; suffixes are sorted within each bucket.
+    """
+
+    def __init__(self, texts: list[bytes], origins: list[int], buckets: list[int]):
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         self.end = np.cumsum(lengths)
         self.start = self.end - lengths
         self.buffer = np.frombuffer(b"".join(texts) + bytes(8 * PERIOD), dtype=np.uint8)
         self.origin = self.start + np.array(origins, dtype=np.int64)
+        self.bucket = np.array(buckets, dtype=np.int64)
 
     def _sample(self, depth: int) -> np.ndarray:
         """At each cover-sample position the rank of its suffix to that depth, else -1."""
@@ -70,25 +93,26 @@ class Block:
         beyond = np.clip(left[:, None] - 8 * np.arange(PERIOD // 8)[None, :], 0, 8)  # bytes of its own text in each word
         words &= np.where(beyond == 0, 0, ~np.uint64(0) << ((8 - beyond) * 8 % 64).astype(np.uint64)).astype(np.uint64)
         rank = np.full(size + 1, -1, dtype=np.int64)
-        rank[at] = _ranks([*words.T, np.minimum(left, PERIOD)])
+        bucket = self.bucket[owner[at]]
+        rank[at] = _ranks(bucket, [*words.T, np.minimum(left, PERIOD)])
         reach = PERIOD
         while reach < depth:
             after = np.where(at + reach < self.end[owner[at]], rank[np.minimum(at + reach, size)], -1)
-            rank[at] = _ranks([rank[at], after])
+            rank[at] = _ranks(bucket, [rank[at], after])
             reach *= 2
         return rank
 
     def sorted_suffixes(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The suffixes with at least length bytes left in their text, in order of those bytes.
+        """The suffixes with at least length bytes left in their text, by bucket and in order of those bytes.
 
-        Also a group number that changes where the first PERIOD bytes change, and each one's text.
+        Also a group number that changes where the bucket or the first PERIOD bytes change, and each one's text.
         """
         counts = np.maximum(self.end - self.start - length + 1, 0)
         owner = np.repeat(np.arange(len(counts)), counts)
         at = self.start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         if not len(at):
             return at, at, owner
-        group = _ranks(list(_words(self.buffer, at, PERIOD // 8).T))
+        group = _ranks(self.bucket[owner], list(_words(self.buffer, at, PERIOD // 8).T))
         rank = self._sample(length)
         residue = (at - self.origin[owner]) % PERIOD
         tie = rank[at + SHIFT[residue, residue]]
@@ -108,14 +132,17 @@ class Block:
             at[s:e], residue[s:e], owner[s:e] = at[own], residue[own], owner[own]
         return at, group, owner
 
-    def repeated(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(position, text) of every suffix whose first length bytes start another suffix too."""
+    def repeated(self, length: int, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(position, text) of every suffix whose first length bytes start another suffix too.
+
+        copies: how many equal texts each text stands for; a suffix of several is its own neighbour.
+        """
         at, group, owner = self.sorted_suffixes(length)
         pair = np.flatnonzero(group[1:] == group[:-1]) if len(at) else np.zeros(0, dtype=np.int64)
         for low in range(PERIOD, length, 8):  # neighbours are compared to the end
             low = min(low, length - 8)
             same = _words(self.buffer, at[pair] + low, 1) == _words(self.buffer, at[pair + 1] + low, 1)
             pair = pair[same[:, 0]]
-        hit = np.zeros(len(at), dtype=bool)
+        hit = np.zeros(len(at), dtype=bool) if copies is None else copies[owner] > 1
         hit[pair] = hit[pair + 1] = True
         return at[hit] - self.start[owner[hit]], owner[hit]

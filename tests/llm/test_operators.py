@@ -119,7 +119,7 @@ def test_suffix_dedup_equals_brute_force(spark, sf, texts):
 def test_crowded_buckets_lose_nothing(spark, sf, texts):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
     rows = docs.select(F.col("doc_id").alias("ka"), F.col("doc_id").alias("kb"), F.col("text").cast("binary").alias("text"))
-    got = {r.ka: r.spans for r in suffix_dedup.repeated_spans(rows, crowd=2).collect()}
+    got = {r.ka: r.spans for r in suffix_dedup.repeated_spans(rows, crowd=2, block_bytes=3000).collect()}
     for i, want in enumerate(brute_repeats(texts)):
         data = (texts[i] or "").encode()
         assert sha256(suffix_dedup.kept(data, got.get(i))[0]).hexdigest() == want[3]
