@@ -35,8 +35,9 @@ SPAN = 200
 GRAM = 32
 #: Positions handled at a time within a document; the low bits of a gram's order break ties leftmost.
 PART_BITS = 22
-#: Different runs that are sorted in one bucket, and bytes of the buckets of one block.
-CROWD, BLOCK_BYTES = 4096, 1 << 20
+#: Different runs that are sorted in one bucket (6 MB of text at most, some 250 MB with its suffixes' words
+#: and ranks), and bytes of the buckets of one block.
+CROWD, BLOCK_BYTES = 1 << 14, 1 << 20
 #: Parts into which a crowded bucket's runs are cut; the finest has a part for each place of the gram.
 CUTS = (8, SPAN - GRAM + 1)
 #: Keys that a join spreads (any other has at most a 1,000th of the rows), and tasks for each of them.
@@ -136,18 +137,18 @@ _PIECE_TYPES = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
 _PIECE_NAMES = [c.split()[0] for c in PIECE.split(", ")]
 
 
-def _pieces(span: int, cut: int):
-    """Pieces of the wanted runs: of each run the string starts that have the gram in one of cut ranges of places.
+def _pieces(span: int):
+    """Pieces of the wanted runs: of each run the string starts that have the gram in one of its cut's ranges of places.
 
     With one cut a piece is the run and its bucket is the gram's. Else the bucket is named by all bytes
     that any two strings of such a piece would share if they were equal.
     """
-    width = -(-(span - GRAM + 1) // cut)
 
     def cut_up(data: bytes, w: dict) -> Iterator[tuple]:
         from xxhash import xxh3_64_intdigest
 
-        s = w["place"] >> 16
+        s, cut = w["place"] >> 16, w["cut"]
+        width = -(-(span - GRAM + 1) // cut)
         e, at = s + (w["place"] >> 8 & 255), s + (w["place"] & 255)
         if cut == 1:
             yield w["gram"], w["gram"], w["whole"], 0, w["n"], at - s, data[s : e + span]
@@ -239,19 +240,19 @@ def _spread_join(many: DataFrame, few: DataFrame, keys: list[str], weight: str,
     return left.join(right, [*keys, "salt"]).drop("salt")
 
 
-def _fetched(rows: DataFrame, kinds: DataFrame, span: int, cut: int) -> DataFrame:
-    """The pieces of one run of each of the kinds (gram, whole, n, one)."""
-    wanted = kinds.groupBy("one.ka", "one.kb").agg(F.collect_list(F.struct("gram", "whole", "n", F.col("one.place").alias("place"))).alias("wanted"))
-    return _text(rows.select("ka", "kb", "text")).join(wanted, ["ka", "kb"]).select("text", "wanted").mapInArrow(_pieces(span, cut), PIECE)
+def _fetched(rows: DataFrame, kinds: DataFrame, span: int) -> DataFrame:
+    """The pieces of one run of each of the kinds (gram, whole, n, one, cut)."""
+    wanted = kinds.groupBy("one.ka", "one.kb").agg(F.collect_list(F.struct("gram", "whole", "n", F.col("one.place").alias("place"), "cut")).alias("wanted"))
+    return _text(rows.select("ka", "kb", "text")).join(wanted, ["ka", "kb"]).select("text", "wanted").mapInArrow(_pieces(span), PIECE)
 
 
 def _sorted(pieces: DataFrame, span: int, block_bytes: int) -> DataFrame:
     return pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(span, block_bytes), VERDICT)
 
 
-def _cut_verdicts(rows: DataFrame, kinds: DataFrame, span: int, cut: int, block_bytes: int) -> DataFrame:
+def _cut_verdicts(rows: DataFrame, kinds: DataFrame, span: int, block_bytes: int) -> DataFrame:
     """Verdicts on crowded kinds by buckets of their pieces; equal pieces go into a bucket as one."""
-    pieces = durable(_fetched(rows, kinds, span, cut).withColumn("same", F.xxhash64("data")))
+    pieces = durable(_fetched(rows, kinds, span).withColumn("same", F.xxhash64("data")))
     one = F.min(F.struct("gram", "whole", "rel", "origin", "data")).alias("one")
     distinct = pieces.groupBy("bucket", "same").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("members"), one)
     # A piece is known by its bucket and hash from here on.
@@ -274,18 +275,17 @@ def repeated_spans(rows: DataFrame, span: int = SPAN, crowd: int = CROWD, block_
     kinds = durable(hits.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("ka", "kb", "place")).alias("one")))
     crowded = durable(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > crowd))
 
-    verdicts, left = None, kinds
+    cuts = None
+    left = kinds
     if not crowded.isEmpty():
         left = kinds.join(crowded, "gram", "left_anti")
-        busy = durable(_spread_join(kinds, crowded, ["gram"], "kinds", F.xxhash64("whole")))
         # The first cut makes buckets that many times finer at least where the texts around the gram differ.
-        for cut, most in zip(CUTS, (crowd * CUTS[0], None)):
-            some = busy.where(F.col("kinds") <= most) if most else busy.where(F.col("kinds") > crowd * CUTS[0])
-            found = _cut_verdicts(rows, some, span, cut, block_bytes)
-            verdicts = found if verdicts is None else verdicts.unionByName(found)
-    plain = _sorted(_fetched(rows, left, span, 1), span, block_bytes).select("gram", "whole", "n", "spans")
-    if verdicts is not None:
-        plain = plain.unionByName(verdicts.join(kinds.select("gram", "whole", "n"), ["gram", "whole"]))
+        finer = F.when(F.col("kinds") <= crowd * CUTS[0], CUTS[0]).otherwise(CUTS[1])
+        busy = _spread_join(kinds, crowded, ["gram"], "kinds", F.xxhash64("whole")).withColumn("cut", finer)
+        cuts = _cut_verdicts(rows, busy, span, block_bytes)
+    plain = _sorted(_fetched(rows, left.withColumn("cut", F.lit(1)), span), span, block_bytes).select("gram", "whole", "n", "spans")
+    if cuts is not None:
+        plain = plain.unionByName(cuts.join(kinds.select("gram", "whole", "n"), ["gram", "whole"]))
     plain = durable(plain)
     start = F.shiftright("place", 16)
     moved = F.transform("spans", lambda x: F.struct((x["lo"] + start).alias("lo"), (x["hi"] + start).alias("hi")))
