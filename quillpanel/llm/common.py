@@ -122,6 +122,23 @@ def release(spark: SparkSession) -> None:
     discard(spark, written())
 
 
+#: Keys that a join spreads (any other has at most a 1,000th of the rows), and tasks for each of them.
+HOT, SALTS = 1000, 64
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], weight: str, salt: Column) -> DataFrame:
+    """many joined to few (one row a key, weight its rows in many); the heaviest keys are salted.
+
+    What is broadcast are the HOT heaviest keys at most, whatever the size of few. They are picked
+    once and written, so that both sides salt the same keys even if a task runs again.
+    """
+    hot = durable(few.orderBy(F.desc(weight), *keys).limit(HOT).select(*keys, F.lit(True).alias("hot")))
+    left = many.join(F.broadcast(hot), keys, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(salt, F.lit(SALTS))).otherwise(0)).drop("hot")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).otherwise(F.array(F.lit(0).cast("long")))
+    right = few.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(salts)).drop("hot")
+    return left.join(right, [*keys, "salt"]).drop("salt")
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

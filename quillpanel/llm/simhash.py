@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import discard, documents, durable, word_slices
+from .common import documents, durable, word_slices
 from .components import components
 
 SHINGLE, SEED, LINK_BITS = 3, 42, 2
@@ -39,11 +39,11 @@ CAP = 64
 COUNTED = 1 << 16
 
 
-def _bit_counts(hashes: list[bytes]) -> np.ndarray:
-    """How many of the hashes have each bit set, the highest bit first."""
+def bit_counts(hashes: bytes) -> np.ndarray:
+    """How many of the hashes of eight bytes have each bit set, the highest bit first."""
     total = np.zeros(64, dtype=np.int64)
-    for s in range(0, len(hashes), COUNTED):
-        part = np.frombuffer(b"".join(hashes[s : s + COUNTED]), dtype=np.uint8)
+    for s in range(0, len(hashes), 8 * COUNTED):
+        part = np.frombuffer(hashes[s : s + 8 * COUNTED], dtype=np.uint8)
         n = len(part) // 8
         lanes = np.unpackbits(part).view(np.uint64).reshape(n, 8)  # eight counters to a lane of 64 bits
         total += np.add.reduceat(lanes, np.arange(0, n, 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
@@ -60,22 +60,22 @@ def fingerprint(data: bytes) -> int:
             few = words
             continue
         shingles = list(map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)))))
-        counts += _bit_counts([xxh64_digest(x, SEED) for x in shingles])
+        counts += bit_counts(b"".join([xxh64_digest(x, SEED) for x in shingles]))
         n += len(shingles)
     if not n:
         if not few:
             return 0
-        counts, n = _bit_counts([xxh64_digest(b" ".join(few), SEED)]), 1
+        counts, n = bit_counts(xxh64_digest(b" ".join(few), SEED)), 1
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [_signed(fingerprint(t.as_py() or b"")) for t in batch.column("text")]
+        found = [signed(fingerprint(t.as_py() or b"")) for t in batch.column("text")]
         rest = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(found, pa.int64())], [*rest, "fp"])
 
@@ -141,7 +141,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return [(a, b, None) for a, b in forest([x & (1 << 64) - 1 for x in left])] if not crowded and len(left) > 1 else []
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array([None if x is None else _signed(x & (1 << 64) - 1) for x in c], pa.int64()) for c in zip(*rows)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([None if x is None else signed(x & (1 << 64) - 1) for x in c], pa.int64()) for c in zip(*rows)], schema=schema)
 
     for batch in batches:
         at, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("at", "fp"))

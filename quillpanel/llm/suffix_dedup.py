@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, row_keys
+from .common import documents, durable, row_keys, spread_join
 from .suffix_sort import Block
 
 SPAN = 200
@@ -40,8 +40,6 @@ PART_BITS = 22
 CROWD, BLOCK_BYTES = 1 << 14, 1 << 20
 #: Parts into which a crowded bucket's runs are cut; the finest has a part for each place of the gram.
 CUTS = (8, SPAN - GRAM + 1)
-#: Keys that a join spreads (any other has at most a 1,000th of the rows), and tasks for each of them.
-HOT, SALTS = 1000, 64
 
 
 def _mixed(x: np.ndarray, by: int) -> np.ndarray:
@@ -227,19 +225,6 @@ def _sort_buckets(span: int, block_bytes: int):
     return run
 
 
-def _spread_join(many: DataFrame, few: DataFrame, keys: list[str], weight: str, salt: Column) -> DataFrame:
-    """many joined to few (one row a key, weight its rows in many); the heaviest keys are salted.
-
-    What is broadcast are the HOT heaviest keys at most, whatever the size of few. They are picked
-    once and written, so that both sides salt the same keys even if a task runs again.
-    """
-    hot = durable(few.orderBy(F.desc(weight), *keys).limit(HOT).select(*keys, F.lit(True).alias("hot")))
-    left = many.join(F.broadcast(hot), keys, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(salt, F.lit(SALTS))).otherwise(0)).drop("hot")
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).otherwise(F.array(F.lit(0).cast("long")))
-    right = few.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(salts)).drop("hot")
-    return left.join(right, [*keys, "salt"]).drop("salt")
-
-
 def _fetched(rows: DataFrame, kinds: DataFrame, span: int) -> DataFrame:
     """The pieces of one run of each of the kinds (gram, whole, n, one, cut)."""
     wanted = kinds.groupBy("one.ka", "one.kb").agg(F.collect_list(F.struct("gram", "whole", "n", F.col("one.place").alias("place"), "cut")).alias("wanted"))
@@ -259,7 +244,7 @@ def _cut_verdicts(rows: DataFrame, kinds: DataFrame, span: int, block_bytes: int
     alone = distinct.select("bucket", F.col("bucket").alias("gram"), F.col("same").alias("whole"), F.lit(0).cast("long").alias("rel"), "n", "one.origin", "one.data")
     found = _sorted(alone, span, block_bytes).select(F.col("gram").alias("bucket"), F.col("whole").alias("same"), "spans")
     weighed = durable(found.join(distinct.select("bucket", "same", "members"), ["bucket", "same"]))
-    back = _spread_join(pieces.select("bucket", "same", "gram", "whole", "rel"), weighed, ["bucket", "same"], "members", F.xxhash64("gram", "whole", "rel"))
+    back = spread_join(pieces.select("bucket", "same", "gram", "whole", "rel"), weighed, ["bucket", "same"], "members", F.xxhash64("gram", "whole", "rel"))
     moved = F.transform("spans", lambda x: F.struct((x["lo"] + F.col("rel")).alias("lo"), (x["hi"] + F.col("rel")).alias("hi")))
     return back.groupBy("gram", "whole").agg(F.flatten(F.collect_list(moved)).alias("spans"))
 
@@ -271,7 +256,7 @@ def repeated_spans(rows: DataFrame, span: int = SPAN, crowd: int = CROWD, block_
     shared = durable(uses.groupBy("gram").agg(F.sum("uses").alias("uses")).where("uses > 1"))
     made = rows.select("ka", "kb", "text").mapInArrow(_run_rows(span), "gram long, whole long, ka long, kb long, place long")
     salt = F.xxhash64("ka", "kb", "place")
-    hits = durable(_spread_join(made, shared, ["gram"], "uses", salt).select("gram", "whole", "ka", "kb", "place"))
+    hits = durable(spread_join(made, shared, ["gram"], "uses", salt).select("gram", "whole", "ka", "kb", "place"))
     kinds = durable(hits.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("ka", "kb", "place")).alias("one")))
     crowded = durable(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > crowd))
 
@@ -281,7 +266,7 @@ def repeated_spans(rows: DataFrame, span: int = SPAN, crowd: int = CROWD, block_
         left = kinds.join(crowded, "gram", "left_anti")
         # The first cut makes buckets that many times finer at least where the texts around the gram differ.
         finer = F.when(F.col("kinds") <= crowd * CUTS[0], CUTS[0]).otherwise(CUTS[1])
-        busy = _spread_join(kinds, crowded, ["gram"], "kinds", F.xxhash64("whole")).withColumn("cut", finer)
+        busy = spread_join(kinds, crowded, ["gram"], "kinds", F.xxhash64("whole")).withColumn("cut", finer)
         cuts = _cut_verdicts(rows, busy, span, block_bytes)
     plain = _sorted(_fetched(rows, left.withColumn("cut", F.lit(1)), span), span, block_bytes).select("gram", "whole", "n", "spans")
     if cuts is not None:
@@ -289,7 +274,7 @@ def repeated_spans(rows: DataFrame, span: int = SPAN, crowd: int = CROWD, block_
     plain = durable(plain)
     start = F.shiftright("place", 16)
     moved = F.transform("spans", lambda x: F.struct((x["lo"] + start).alias("lo"), (x["hi"] + start).alias("hi")))
-    return _spread_join(hits, plain, ["gram", "whole"], "n", salt).groupBy("ka", "kb").agg(F.flatten(F.collect_list(moved)).alias("spans"))
+    return spread_join(hits, plain, ["gram", "whole"], "n", salt).groupBy("ka", "kb").agg(F.flatten(F.collect_list(moved)).alias("spans"))
 
 
 def _text(rows: DataFrame) -> DataFrame:

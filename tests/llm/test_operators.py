@@ -165,7 +165,7 @@ def test_links_reach_every_pair_of_two_bits(spark, monkeypatch, cap):
             prints.add(x)
     prints = sorted(prints)
     of = brute_components(prints)
-    nodes = spark.createDataFrame([(simhash._signed(p), i) for i, p in enumerate(prints)], "fp long, name long")
+    nodes = spark.createDataFrame([(simhash.signed(p), i) for i, p in enumerate(prints)], "fp long, name long")
     got = {prints.index(r.fp & (1 << 64) - 1): r.name for r in simhash.component_of(nodes).collect()}
     assert got == of
 
