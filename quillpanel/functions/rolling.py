@@ -6,6 +6,7 @@ All windows share one partitioning by entity, so a plan over them has one exchan
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -13,8 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-12
-#: Observations after which the closed form of an exponential mean starts anew, far from overflow.
-BLOCK = 1000
+#: The greatest logarithm of a product within a block of an exponential mean, far from overflow.
+EXPONENT = 300.0
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A prefix that no column of df has, compared without case."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = "_" + name
+    return name
 
 
 def rows(key: str = "ticker", order: str = "date"):
@@ -93,33 +101,39 @@ class Ewm:
 def ewm(df: DataFrame, specs: Sequence[Ewm], key: str = "ticker", order: str = "date") -> DataFrame:
     """Adds each spec's mean. Rows without x repeat the mean, and age it by one step.
 
-    y = (1 - l) * y_before + l * x with l = a / ((1 - a)^g + a), g rows since the last observation.
-    Within a block of observations this is a sum over products; blocks are chained by a short fold.
+    y = k * y_before + l * x with k = (1 - a)^g / ((1 - a)^g + a) and l = 1 - k, g rows since the last
+    observation; k is carried as a logarithm, so that no gap is too long. All specs share blocks of
+    rows, short enough that no product within one overflows at the greatest alpha: within a block the
+    recursion is a sum over products, and the blocks are chained by a short fold.
     """
     w = rows(key, order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    before, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     names = list(df.columns) + [s.out for s in specs]
-    t = lambda kind, s: f"__{kind}_{s.out}"
-    df = df.withColumn("__row", F.row_number().over(w))
+    decay = {s: math.log1p(-s.alpha) for s in specs}
+    size = max(1, int(EXPONENT / max(-d for d in decay.values())))
+    tag = fresh(df, "_ewm")
+    t = lambda kind, s: f"{tag}_{kind}_{s.out}"
+    row, block = f"{tag}_row", f"{tag}_block"
     seen = {s: F.col(s.x).isNotNull() for s in specs}
+    df = df.withColumn(row, F.row_number().over(w)).withColumn(block, F.floor((F.col(row) - 1) / size))
     df = df.withColumns(
-        {t("n", s): F.count(s.x).over(w.rowsBetween(Window.unboundedPreceding, 0)) for s in specs}
-        | {t("at", s): F.last(F.when(seen[s], F.col("__row")), True).over(before) for s in specs}
+        {t("n", s): F.count(s.x).over(so_far) for s in specs} | {t("at", s): F.last(F.when(seen[s], F.col(row)), True).over(before) for s in specs}
     )
-    gap = lambda s: F.pow(F.lit(1 - s.alpha), F.col("__row") - F.col(t("at", s)))
+    age = lambda s: (F.col(row) - F.col(t("at", s))) * decay[s]
+    opens = lambda s: F.col(t("at", s)).isNull() | (F.col(t("at", s)) <= F.col(block) * size)
+    step = lambda s: age(s) - F.ln(F.exp(age(s)) + s.alpha)
     df = df.withColumns(
-        {t("l", s): F.when(seen[s], F.when(F.col(t("at", s)).isNull(), 1.0).otherwise(s.alpha / (gap(s) + s.alpha))) for s in specs}
-        | {t("b", s): F.floor((F.col(t("n", s)) - F.when(seen[s], 1).otherwise(0)) / BLOCK) for s in specs}
+        {t("l", s): F.when(seen[s], F.coalesce(s.alpha / (F.exp(age(s)) + s.alpha), F.lit(1.0))) for s in specs}
+        # What the first observation of a block does to the mean that comes into it is kept apart.
+        | {t("k", s): F.when(seen[s] & ~opens(s), step(s)).otherwise(0.0) for s in specs}
+        | {t("e", s): F.when(seen[s] & opens(s), F.coalesce(F.exp(step(s)), F.lit(0.0))) for s in specs}
     )
-    for s in specs:
-        inside = Window.partitionBy(key, t("b", s)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        keep = F.when(F.col(t("l", s)) < 1, F.log1p(-F.col(t("l", s)))).otherwise(0.0)
-        df = df.withColumn(t("p", s), F.sum(keep).over(inside))
-        part = F.exp(F.col(t("p", s))) * F.sum(F.col(t("l", s)) * F.col(s.x) * F.exp(-F.col(t("p", s)))).over(inside)
-        df = df.withColumn(t("s", s), part)
-    ends = {s: F.when(seen[s] & (F.col(t("n", s)) % BLOCK == 0), F.struct(F.col(t("s", s)).alias("s"), F.exp(t("p", s)).alias("p"))) for s in specs}
-    chain = lambda c, e: e["s"] + e["p"] * c
-    df = df.withColumns({t("c", s): F.aggregate(F.collect_list(ends[s]).over(before), F.lit(0.0), chain) for s in specs})
-    y = {s: F.when(seen[s], F.col(t("s", s)) + F.exp(t("p", s)) * F.col(t("c", s))) for s in specs}
-    df = df.withColumns({s.out: F.when(F.col(t("n", s)) >= s.least, F.last(y[s], True).over(w.rowsBetween(Window.unboundedPreceding, 0))) for s in specs})
-    return df.select(*names)
+    inside = Window.partitionBy(key, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({t("p", s): F.sum(t("k", s)).over(inside) for s in specs} | {t("enter", s): F.sum(t("e", s)).over(inside) for s in specs})
+    part = lambda s: F.exp(t("p", s)) * F.coalesce(F.sum(F.col(t("l", s)) * F.col(s.x) * F.exp(-F.col(t("p", s)))).over(inside), F.lit(0.0))
+    df = df.withColumns({t("s", s): part(s) for s in specs} | {t("m", s): F.coalesce(F.exp(t("p", s)) * F.col(t("enter", s)), F.lit(1.0)) for s in specs})
+    end = lambda s: F.when(F.col(row) % size == 0, F.struct(F.col(t("s", s)).alias("s"), F.col(t("m", s)).alias("m")))
+    chain = lambda c, e: e["s"] + e["m"] * c
+    df = df.withColumns({t("c", s): F.aggregate(F.collect_list(end(s)).over(before), F.lit(0.0), chain) for s in specs})
+    df = df.withColumns({s.out: F.when(F.col(t("n", s)) >= s.least, F.col(t("s", s)) + F.col(t("m", s)) * F.col(t("c", s))) for s in specs})
+    return df.select(*(f"`{n}`" for n in names))

@@ -101,7 +101,7 @@ def queries() -> dict:
         "bollinger": _weekly(indicators.bollinger, "bb_mid", "bb_upper", "bb_lower", "bb_width", "bb_pctb"),
         "atr": _weekly(indicators.atr, "atr14"),
         "forward_returns": _weekly(features.attach_labels, "fwd_ret_1", "fwd_ret_5", "fwd_ret_20", "label_up_1", "label_up_5", "label_up_20"),
-        "lag_features": lambda s, d: _out(features.lag_features(weekly(s, d)), "ticker", "date", *features.lag_columns()),
+        "lag_features": lambda s, d: _out(features.lag_features(weekly(s, d)), "ticker", "date", *features.LAGS),
         "macro_features": lambda s, d: _out(features.macro_features(bars.macro_series(s, d))),
         "macro_asof": lambda s, d: _out(features.as_of(daily(s, d).select("ticker", "date", "close"), bars.macro_series(s, d)), "ticker", "date", "close", "vix", "spx"),
         "feature_matrix": lambda s, d: _out(_matrix(s, d)),

@@ -38,15 +38,22 @@ def walk(spark, n, seed=1, ticker="A"):
     return bar_rows(spark, [(ticker, i, float(x), float(x * 1.01), float(x * 0.99), float(x * 1.001), 1000 + i) for i, x in enumerate(p)])
 
 
-@pytest.mark.parametrize("alpha,least", [(2 / 13, 12), (1 / 14, 14), (0.2, 9)])
-def test_ewm_with_gaps_over_several_blocks(spark, alpha, least):
+@pytest.mark.parametrize("alphas", [(1 / 14, 2 / 13, 0.2, 2 / 3, 0.95), (1 / 14,), (0.9,)])
+def test_ewm_with_gaps_of_any_length(spark, alphas):
     g = np.random.default_rng(3)
-    x = np.where(g.random(3500) < 0.1, np.nan, g.normal(50, 9, 3500))
-    x[:3] = np.nan
-    got = ewm(series(spark, x), [Ewm("y", "x", alpha, least)]).orderBy("date").toPandas()["y"]
-    want = pd.Series(x).ewm(alpha=alpha, adjust=False, min_periods=least).mean()
-    assert (got.isna() == want.isna()).all()
-    np.testing.assert_allclose(got.dropna(), want.dropna(), rtol=1e-9)
+    x = np.where(g.random(10_000) < 0.1, np.nan, g.normal(50, 9, 10_000))
+    for start, gap in ((0, 3), (100, 1), (200, 50), (400, 200), (900, 600), (2000, 2000)):
+        x[start : start + gap] = np.nan
+    got = ewm(series(spark, x), [Ewm(f"y{i}", "x", a, 9) for i, a in enumerate(alphas)]).orderBy("date").toPandas()
+    for i, a in enumerate(alphas):
+        want = pd.Series(x).ewm(alpha=a, adjust=False, min_periods=9).mean()
+        assert (got[f"y{i}"].isna() == want.isna()).all()
+        np.testing.assert_allclose(got[f"y{i}"].dropna(), want.dropna(), rtol=1e-9)
+
+
+def test_a_constant_stays_after_a_long_gap(spark):
+    got = ewm(series(spark, [10.0] * 30 + [math.nan] * 700 + [10.0] * 30), [Ewm("y", "x", 0.2, 1)]).toPandas()["y"]
+    np.testing.assert_allclose(got, 10.0)
 
 
 def test_shape_of_windows(spark):
@@ -73,7 +80,7 @@ def test_indicators_at_their_first_rows(spark):
 def test_features_do_not_look_ahead(spark):
     whole = walk(spark, 300)
     part = whole.where(F.col("date") <= day(280))
-    names = list(features.lag_columns())
+    names = list(features.LAGS)
     assert len(names) == 35 and len(features.feature_names()) == 48
     a, b = (features.lag_features(d).where(F.col("date") == day(280)).select(names).toPandas() for d in (whole, part))
     pd.testing.assert_frame_equal(a, b)
