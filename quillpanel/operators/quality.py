@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import corr_of, rows
+from ..functions.rolling import corr_of, fresh, rows
+from .features import as_of
 from ..sources.bars import PRICES, keep_last
 
 OHLC = PRICES[:4]
@@ -55,94 +56,141 @@ def calendar(df: DataFrame, benchmark: str | None = None, share: float = 0.5) ->
 def integrity(df: DataFrame, days: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per ticker: spans, coverage, gaps, counts of faults, lifecycle, flags and status.
 
-    days is a calendar of a market (a few thousand rows at most: one per session).
+    days is a calendar (a row per session). A date's place in it is the number of the last session at
+    or before it, so spans and gaps are differences of numbers.
     """
-    days = F.broadcast(days)
-    last = days.agg(F.max("session").alias("__last"), F.collect_list(F.struct("date", "session")).alias("__days"))
-    ret = F.abs(F.try_divide(F.col("close"), F.lag("close").over(rows())) - 1)
-    real = ~placeholder() & F.col("close").isNotNull()
-    df = df.withColumns({"__ret": ret, "__real": real, "__bad": disorder(), "__flat": placeholder()})
-    df = df.join(days, "date", "left").withColumn("__jump", F.col("session") - F.lag(F.col("session")).over(Window.partitionBy("ticker", F.col("session").isNull()).orderBy("date")) - 1)
-    some_null = F.greatest(*(F.col(c).isNull() for c in (*OHLC, "volume")))
+    tag = fresh(df, "_i")
+    c = lambda k: F.col(f"{tag}_{k}")
+    order = Window.partitionBy("ticker").orderBy("date", *OHLC, "volume")
+    df = df.withColumns({f"{tag}_ret": F.abs(F.try_divide(F.col("close"), F.lag("close").over(order)) - 1), f"{tag}_bad": disorder(), f"{tag}_flat": placeholder()})
+    on = days.select("date", F.col("session").alias(f"{tag}_s"))
+    df = df.join(on, "date", "left")
+    df = df.withColumn(f"{tag}_jump", c("s") - F.lag(c("s")).over(Window.partitionBy("ticker", c("s").isNull()).orderBy("date")) - 1)
+    some_null = F.greatest(*(F.col(k).isNull() for k in (*OHLC, "volume")))
     n = F.count(F.lit(1))
     out = df.groupBy("ticker").agg(
+        F.min("source").alias("source"),
+        n.alias("rows"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
-        n.alias("n_rows"),
-        F.countDistinct("date").alias("__present"),
-        (n - F.countDistinct("date")).alias("dupe_dates"),
-        F.coalesce(F.greatest(F.max("__jump"), F.lit(0)), F.lit(0)).alias("__inner"),
-        F.countDistinct("session").alias("__on"),
-        F.min("session").alias("__s0"),
-        F.max("session").alias("__s1"),
-        F.count_if(F.col("close").isNull()).alias("null_close"),
-        F.count_if(some_null).alias("null_rows"),
-        F.count_if(F.least(*OHLC) <= limits.min_price).alias("nonpos_rows"),
-        F.count_if("__bad").alias("ohlc_violations"),
-        F.count_if(F.coalesce("volume", F.lit(0)) == 0).alias("zero_volume_rows"),
-        F.count_if("__flat").alias("halt_like_rows"),
-        F.count_if(~F.col("__flat")).alias("real_rows"),
-        F.min(F.when(~F.col("__flat"), F.col("date"))).alias("first_real_date"),
-        F.bround(F.max("__ret"), 4).alias("max_abs_ret"),
-        F.count_if(F.col("__ret") > limits.max_return).alias("n_extreme_ret"),
+        F.countDistinct("date").alias(f"{tag}_present"),
+        F.coalesce(F.max(c("jump")), F.lit(0)).alias(f"{tag}_inner"),
+        F.countDistinct(c("s")).alias(f"{tag}_on"),
+        F.min(c("s")).alias(f"{tag}_s0"),
+        F.max(c("s")).alias(f"{tag}_s1"),
+        F.count_if(F.col("close").isNull()).alias("n_nan_close"),
+        F.count_if(some_null).alias("n_nan_ohlcv"),
+        F.count_if(F.least(*OHLC) <= limits.min_price).alias("n_nonpos_price"),
+        F.count_if(c("bad")).alias("n_ohlc_violation"),
+        F.count_if(F.coalesce("volume", F.lit(0)) == 0).alias("n_zero_volume"),
+        F.count_if(c("flat")).alias("n_halt_like"),
+        F.count_if(~c("flat")).alias("real_rows"),
+        F.min(F.when(~c("flat"), F.col("date"))).alias("first_real_date"),
+        F.bround(F.max(c("ret")), 4).alias("max_abs_return"),
+        F.count_if(c("ret") > limits.max_return).alias("n_extreme_return"),
     )
-    within = lambda a, b: F.filter("__days", lambda d: (d["date"] >= a) & (d["date"] <= b))
-    out = out.crossJoin(F.broadcast(last)).withColumn("__exp", within(F.col("first_date"), F.col("last_date")))
-    expected = F.size("__exp").cast("long")
-    # Sessions before the first or after the last bar on the calendar can only miss for off-calendar ends.
-    head = F.coalesce(F.col("__s0") - F.get("__exp", F.lit(0))["session"], expected)
-    tail = F.coalesce(F.get("__exp", F.size("__exp") - 1)["session"] - F.col("__s1"), expected)
+    place = lambda df, day, name: as_of(df.withColumn("date", day), days.select("date", F.col("session").alias(f"{tag}_{name}")))
+    out = place(place(out, F.date_sub("first_date", 1), "before"), F.col("last_date"), "until").drop("date")
+    total = days.agg(F.coalesce(F.max("session"), F.lit(0)).alias(f"{tag}_total"))
+    out = out.crossJoin(F.broadcast(total)).withColumns({f"{tag}_before": F.coalesce(c("before"), F.lit(0)), f"{tag}_until": F.coalesce(c("until"), F.lit(0))})
+    expected = (c("until") - c("before")).cast("long")
+    ends = F.greatest(c("s0") - c("before") - 1, c("until") - c("s1"))
     out = out.withColumns(
         {
+            "n_dupe_dates": F.col("rows") - c("present"),
             "expected_days": expected,
-            "missing_days": expected - F.col("__on"),
-            "coverage": F.when(expected > 0, F.bround(F.col("__present") / expected, 4)).otherwise(0.0),
-            "max_gap": F.greatest(F.col("__inner"), head, tail).cast("long"),
-            "real_row_ratio": F.bround(F.col("real_rows") / F.col("n_rows"), 4),
-            "__after": F.size(F.filter("__days", lambda d: d["date"] > F.col("last_date"))),
+            "missing_days": expected - c("on"),
+            "coverage": F.when(expected > 0, F.bround(c("present") / expected, 4)).otherwise(0.0),
+            "max_internal_gap": F.greatest(c("inner"), F.coalesce(ends, expected)).cast("long"),
+            "real_row_ratio": F.bround(F.col("real_rows") / F.col("rows"), 4),
         }
     )
-    c = F.col
-    out = out.withColumn(
-        "lifecycle",
-        F.when(c("real_rows") < limits.min_history, "short_history").when(c("__after") > limits.stale, "delisted").when(c("max_gap") > limits.suspended, "suspended").otherwise("active"),
-    )
+    x = F.col
+    lifecycle = F.when(x("real_rows") < limits.min_history, "short_history").when(c("total") - c("until") > limits.stale, "delisted").when(x("max_internal_gap") > limits.suspended, "suspended").otherwise("active")
     tests = {
-        "low_coverage": c("coverage") < limits.min_coverage,
-        "long_gap": c("max_gap") > limits.max_gap,
-        "dupe_dates": c("dupe_dates") > 0,
-        "nonpos_price": c("nonpos_rows") > 0,
-        "ohlc_violation": c("ohlc_violations") > 0,
-        "halt_like_rows": c("halt_like_rows") > 0,
-        "extreme_returns": c("n_extreme_ret") > 0,
-        "fabricated_rows": c("real_row_ratio") < limits.min_real_ratio,
-        "short_history": c("real_rows") < limits.min_history,
+        "low_coverage": x("coverage") < limits.min_coverage,
+        "long_gap": x("max_internal_gap") > limits.max_gap,
+        "dupe_dates": x("n_dupe_dates") > 0,
+        "nonpos_price": x("n_nonpos_price") > 0,
+        "ohlc_violation": x("n_ohlc_violation") > 0,
+        "halt_like_rows": x("n_halt_like") > 0,
+        "extreme_returns": x("n_extreme_return") > 0,
+        "fabricated_rows": x("real_row_ratio") < limits.min_real_ratio,
+        "short_history": x("real_rows") < limits.min_history,
     }
-    flags = F.filter(F.array(*(F.when(t, k) for k, t in tests.items())), lambda x: x.isNotNull())
-    fails = (c("coverage") < 0.5) | tests["dupe_dates"] | tests["nonpos_price"] | (c("ohlc_violations") > c("n_rows") * 0.005) | tests["fabricated_rows"] | tests["short_history"]
-    out = out.withColumn("flags", flags).withColumn("status", F.when(fails, "fail").when(F.size("flags") > 0, "warn").otherwise("clean"))
-    return out.drop(*(k for k in out.columns if k.startswith("__")))
+    flags = F.filter(F.array(*(F.when(t, k) for k, t in tests.items())), lambda f: f.isNotNull())
+    fails = (x("coverage") < 0.5) | tests["dupe_dates"] | tests["nonpos_price"] | (x("n_ohlc_violation") > x("rows") * 0.005) | tests["fabricated_rows"] | tests["short_history"]
+    out = out.withColumns({"lifecycle": lifecycle, "flags": flags}).withColumn("status", F.when(fails, "fail").when(F.size("flags") > 0, "warn").otherwise("clean"))
+    return out.drop(*(k for k in out.columns if k.startswith(f"{tag}_")))
+
+
+def report_order(report: DataFrame) -> DataFrame:
+    return report.orderBy("status", "coverage", "ticker")
 
 
 def flag_counts(report: DataFrame) -> DataFrame:
     return report.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
 
 
+def integrity_summary(report: DataFrame) -> DataFrame:
+    """(kind, name, n): tickers by status and by lifecycle, flags, and rows in all."""
+    counted = lambda kind: report.groupBy(F.lit(kind).alias("kind"), F.col(kind).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    flags = flag_counts(report).select(F.lit("flag").alias("kind"), F.col("flag").alias("name"), "n")
+    total = report.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).select(F.lit("total").alias("kind"), F.lit("rows").alias("name"), "n")
+    return counted("status").unionByName(counted("lifecycle")).unionByName(flags).unionByName(total)
+
+
 def trim_leading(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Rows from the first date on which a run of real bars starts; tickers without a real bar go."""
-    real = (~placeholder()).cast("int")
-    run = F.min(real).over(rows().rowsBetween(0, limits.sustained - 1)) == 1
-    df = df.withColumns({"__real": real, "__run": run})
+    """Rows from the first date on which a run of traded bars starts; tickers without one go.
+
+    A traded bar is no placeholder and has volume; where no run is long enough, the first one counts.
+    """
+    tag = fresh(df, "_t")
+    real = ((~placeholder()) & (F.coalesce("volume", F.lit(0)) > 0)).cast("int")
+    df = df.withColumns({f"{tag}_real": real, f"{tag}_run": F.min(real).over(rows().rowsBetween(0, limits.sustained - 1)) == 1})
     whole = Window.partitionBy("ticker")
-    start = F.coalesce(F.min(F.when(F.col("__run"), F.col("date"))).over(whole), F.min(F.when(F.col("__real") == 1, F.col("date"))).over(whole))
-    return df.withColumn("__start", start).where("date >= __start").drop("__real", "__run", "__start")
+    first = lambda test: F.min(F.when(test, F.col("date"))).over(whole)
+    start = F.coalesce(first(F.col(f"{tag}_run")), first(F.col(f"{tag}_real") == 1))
+    return df.withColumn(f"{tag}_start", start).where(f"date >= {tag}_start").drop(f"{tag}_real", f"{tag}_run", f"{tag}_start")
+
+
+def cleaning_stats(raw: DataFrame, trimmed: DataFrame, panel: DataFrame, audit: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """One row per ticker of raw: rows before and after, what was trimmed, masked, filled, mended and flagged, and why it was dropped."""
+    n = F.count(F.lit(1))
+    out = raw.groupBy("ticker").agg(n.alias("raw_rows"), F.min("date").alias("orig_first_date"))
+    left = trimmed.groupBy("ticker").agg(n.alias("kept"), F.min("date").alias("first_real_date"), F.count_if(placeholder()).alias("masked"))
+    done = panel.groupBy("ticker").agg(n.alias("clean_rows"), F.count_if("is_filled").alias("gap_filled"), F.count_if("is_extreme").alias("n_extreme"), F.count_if("is_suspect").alias("n_suspect"))
+    mended = audit.groupBy("ticker").agg(F.count_if(F.col("reason") == "ohlc_order_fix").alias("ohlc_fixed"), F.count_if(F.col("reason") == "nonpositive_price").alias("nonpos_fixed"))
+    out = out.join(left, "ticker", "left").join(done, "ticker", "left").join(mended, "ticker", "left")
+    kept = F.coalesce("kept", F.lit(0))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    dropped = kept < limits.min_history
+    return out.select(
+        "ticker", "raw_rows", zero("clean_rows"), F.when(kept > 0, F.col("raw_rows") - kept).otherwise(0).alias("leading_trimmed"),
+        F.when(dropped, 0).otherwise(F.coalesce("masked", F.lit(0))).alias("halt_masked"), zero("gap_filled"), zero("ohlc_fixed"), zero("nonpos_fixed"), zero("n_extreme"), zero("n_suspect"),
+        "orig_first_date", "first_real_date", dropped.alias("dropped"),
+        F.when(kept == 0, "no sustained real trading window").when(dropped, f"real history < {limits.min_history} days").alias("reason"),
+    )
+
+
+def prelisting(stats: DataFrame) -> DataFrame:
+    return stats.where("leading_trimmed > 0").select("ticker", "orig_first_date", "first_real_date", "leading_trimmed", "raw_rows")
+
+
+def cleaning_report(stats: DataFrame) -> DataFrame:
+    """The totals of the cleaning run, one row."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return stats.agg(
+        F.count(F.lit(1)).alias("tickers_in"), F.count_if(~F.col("dropped")).alias("tickers_kept"),
+        *(total(c) for c in ("raw_rows", "clean_rows", "leading_trimmed", "halt_masked", "gap_filled", "ohlc_fixed", "nonpos_fixed", "n_extreme", "n_suspect")),
+    )
 
 
 def quarantined(df: DataFrame, trimmed: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Tickers with too few rows after trimming, with the rows they came with and why."""
     raw = df.groupBy("ticker").agg(F.count(F.lit(1)).alias("raw_rows"))
-    left = trimmed.groupBy("ticker").agg(F.count(F.lit(1)).alias("__kept"))
-    kept = F.coalesce("__kept", F.lit(0))
+    left = trimmed.groupBy("ticker").agg(F.count(F.lit(1)).alias("kept"))
+    kept = F.coalesce("kept", F.lit(0))
     return raw.join(left, "ticker", "left").where(kept < limits.min_history).select("ticker", "raw_rows", F.when(kept == 0, "no sustained real trading window").otherwise(f"real history < {limits.min_history} days").alias("reason"))
 
 
@@ -204,9 +252,15 @@ def winsorise(df: DataFrame, limits: Limits = Limits(), least: int = 20) -> Data
     return df.withColumn("ret_winsor", value).drop("__m", "__n", "__d")
 
 
-def clean(df: DataFrame, days: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
-    """The cleaned panel and the audit of repaired bars."""
-    kept = enough_history(trim_leading(keep_last(df.withColumn("ticker", F.upper(F.trim("ticker"))), ["ticker", "date"], "volume"), limits), limits)
+def clean(df: DataFrame, days: DataFrame, limits: Limits = Limits(), sequence: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The cleaned panel and the audit of repaired bars.
+
+    Of repeated (ticker, date) rows the last by the sequence column stays; without one the row of the
+    greatest volume, ties by all columns.
+    """
+    named = df.withColumn("ticker", F.upper(F.trim("ticker")))
+    once = keep_last(named, ["ticker", "date"], sequence or "volume")
+    kept = enough_history(trim_leading(once.drop(sequence) if sequence else once, limits), limits)
     fixed, audit = repair(align(kept, days, limits), limits)
     return winsorise(returns(fixed, limits), limits), audit
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.rolling import fresh
+
 PRICES = ("open", "high", "low", "close", "adj_close")
 COLUMNS = ("date", *PRICES, "volume", "dividends", "splits", "ticker", "source")
 
@@ -22,20 +24,27 @@ def snake(name: str) -> str:
 
 
 def standardise(df: DataFrame, source: str, sequence: str = "seq") -> DataFrame:
-    """Raw vendor rows as typed bars: one row per ticker and date, the last by sequence.
+    """Raw vendor rows as typed bars: one row per ticker and date, the last by the sequence column.
 
-    Values that do not parse become null; a missing adj_close is the close, missing dividends and
-    splits are 0; rows without any of open, high, low, close go; without open, high, low, close or
-    volume among the columns the result is empty.
+    The first column is the date if none is named so, and stock splits are splits. Values that do not
+    parse become null; a missing adj_close is the close, missing dividends and splits are 0; rows
+    without any of open, high, low, close go; without open, high, low, close or volume among the
+    columns the result is empty. Rows have no order in Spark, so the sequence must be a column.
     """
-    df = df.toDF(*(snake(c) for c in df.columns))
-    whole = {"open", "high", "low", "close", "volume", "date", "ticker"} <= set(df.columns)
+    names = [snake(c) for c in df.columns]
+    if "date" not in names and names:
+        names[0] = "date"
+    df = df.toDF(*("splits" if n == "stock_splits" else n for n in names))
+    if snake(sequence) not in df.columns:
+        raise ValueError(f"the column {sequence} is needed to tell which of repeated rows is the last")
+    whole = {"open", "high", "low", "close", "volume", "ticker"} <= set(df.columns)
     has = lambda c: c in df.columns
     double = lambda c: F.col(c).try_cast("double")
     none = F.lit(None).cast("double")
     get = lambda c, default=none: double(c) if has(c) else default
+    order = fresh(df, "_seq")
     out = df.select(
-        F.col("date").try_cast("date").alias("date") if has("date") else F.lit(None).cast("date").alias("date"),
+        F.col("date").try_cast("date").alias("date"),
         *(get(c).alias(c) for c in PRICES[:4]),
         get("adj_close", get("close")).alias("adj_close"),
         F.bround(get("volume")).cast("long").alias("volume"),
@@ -43,18 +52,25 @@ def standardise(df: DataFrame, source: str, sequence: str = "seq") -> DataFrame:
         get("splits", F.lit(0.0)).alias("splits"),
         (F.upper(F.trim("ticker")) if has("ticker") else F.lit(None).cast("string")).alias("ticker"),
         F.lit(source).alias("source"),
-        (F.col(sequence) if has(sequence) else F.monotonically_increasing_id()).alias("__seq"),
+        F.col(snake(sequence)).alias(order),
     )
     out = out.where(F.lit(whole)).dropna("all", subset=list(PRICES[:4]))
-    return keep_last(out, ["ticker", "date"], "__seq").drop("__seq")
+    return keep_last(out, ["ticker", "date"], order).drop(order)
+
+
+def _first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    n = fresh(df, "_n")
+    ties = [F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "variant"))]
+    return df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *ties))).where(f"{n} = 1").drop(n)
 
 
 def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
+    """One row of each key, the last in order; rows equal in it are told apart by all columns."""
+    return _first(df, keys, [F.desc(order)])
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__n = 1").drop("__n")
+    return _first(df, keys, [F.col(order)])
 
 
 def _bars(df: DataFrame, ticker: Column, day: Column, price: Column, size: Column, order: list[str], source: str) -> DataFrame:
@@ -84,6 +100,24 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(df, F.col("user_id"), F.col("ts").cast("date"), F.col("value"), F.lit(1), ["ts", "event_id"], "events")
 
 
+def faulty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """daily_bars with the faults that vendors' files have, by rules on the user u and the day of the month d.
+
+    Flat bars without volume, at the start and within; highs below lows; prices of 0; weeks without a
+    bar; users with a few days only; repeated dates (column seq tells the later row).
+    """
+    df = daily_bars(spark, sf_dir)
+    u, d = F.col("ticker").cast("long"), F.day("date")
+    df = df.where(~((u % 13 == 0) & (d > 6)) & ~((u % 6 == 1) & d.between(10, 16)))
+    flat = ((u % 5 == 0) & (d <= 4)) | ((u + d) % 9 == 0)
+    nothing, crossed = (u + d) % 41 == 0, (u * 3 + d) % 11 == 0
+    close = F.when(nothing, 0.0).otherwise(F.col("close"))
+    df = df.withColumns({"close": close, "adj_close": close, "high": F.when(crossed, F.col("low") * 0.9).otherwise(F.col("high"))})
+    df = df.withColumns({c: F.when(flat, F.col("close")).otherwise(F.col(c)) for c in ("open", "high", "low")} | {"volume": F.when(flat, 0).otherwise(F.col("volume"))})
+    again = df.where((u + d) % 23 == 0).withColumns({"volume": F.col("volume") + 10, "seq": F.lit(1)})
+    return df.withColumn("seq", F.lit(0)).unionByName(again)
+
+
 def macro_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly mean order totals by priority, as the four macro series."""
     df = spark.read.parquet(f"{sf_dir}/orders.parquet")

@@ -120,9 +120,9 @@ def test_integrity_counts_faults(spark):
     rows += [("C", d, 5.0, 5.0, 5.0, 5.0, 0) for d in range(70)]
     df = bar_rows(spark, rows)
     got = {r.ticker: r for r in quality.integrity(df, quality.calendar(df)).collect()}
-    assert (got["A"].missing_days, got["A"].max_gap, got["A"].status, got["A"].flags) == (3, 3, "clean", [])
-    assert got["B"].ohlc_violations == 1 and got["B"].n_extreme_ret == 2 and got["B"].status == "fail"
-    assert got["C"].halt_like_rows == 70 and got["C"].lifecycle == "short_history" and got["C"].status == "fail"
+    assert (got["A"].missing_days, got["A"].max_internal_gap, got["A"].status, got["A"].flags) == (3, 3, "clean", [])
+    assert got["B"].n_ohlc_violation == 1 and got["B"].n_extreme_return == 2 and got["B"].status == "fail"
+    assert got["C"].n_halt_like == 70 and got["C"].lifecycle == "short_history" and got["C"].status == "fail"
 
 
 def test_clean_trims_fills_and_repairs(spark):
@@ -171,6 +171,14 @@ def test_standardise_keeps_the_last_row(spark):
     assert len(got) == 1 and got[0].open is None and got[0].adj_close == 2.0 and got[0].volume == 12 and got[0].splits == 0.0
 
 
+def test_splits_and_an_unnamed_date(spark):
+    raw = spark.createDataFrame([("2020-01-01", "a", 1.0, 1.0, 1.0, 1.0, 5, 2.0, 1)], "When string, Ticker string, Open double, High double, Low double, Close double, Volume long, `Stock Splits` double, seq int")
+    got = bars.standardise(raw, "v").collect()[0]
+    assert (got.date, got.splits, got.dividends) == (DAY, 2.0, 0.0)
+    with pytest.raises(ValueError):
+        bars.standardise(raw.drop("seq"), "v")
+
+
 def test_store(spark, tmp_path):
     df = walk(spark, 5)
     store.write(df, str(tmp_path / "t"), "ticker")
