@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import corr_of, fresh, rows
 from .features import as_of
+from .reduction import even_sample
 from ..sources.bars import PRICES, keep_last
 
 OHLC = PRICES[:4]
@@ -292,3 +293,12 @@ def reconcile(left: DataFrame, right: DataFrame, least: int = 30) -> DataFrame:
     status = F.when(F.col("__alt").isNull(), "no_alt_source").when(n < least, "insufficient_overlap").when(F.col("median_abs_pct") > 0.05, "mismatch").when(warn, "warn").otherwise("ok")
     enough = lambda c: F.when(n >= least, c)
     return out.select("ticker", n.alias("overlap_days"), status.alias("status"), enough(F.bround("__corr", 4)).alias("return_corr"), *(enough(F.col(c)).alias(c) for c in ("median_abs_pct", "max_abs_pct", "n_days_gt_2pct", "worst_date")))
+
+
+def reconcile_sample(left: DataFrame, right: DataFrame, sample: int | None = 60, tickers: list[str] | None = None, least: int = 30) -> DataFrame:
+    """reconcile over the named tickers, or over an even sample of left's (all if sample is 0 or None)."""
+    if tickers is not None:
+        left = left.where(F.col("ticker").isin(tickers))
+    elif sample:
+        left = left.join(even_sample(left, "ticker", sample), "ticker", "left_semi")
+    return reconcile(left, right, least)

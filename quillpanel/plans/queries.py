@@ -10,7 +10,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, indicators, membership, quality, reduction, signals
+from ..operators import charts, features, indicators, membership, quality, reduction, signals
 from ..sources import bars, store
 
 DIGITS = 8
@@ -31,12 +31,17 @@ def _all_indicators(spark: SparkSession, sf: str) -> DataFrame:
     return features.forward_returns(indicators.add_indicators(bars.weekly_bars(spark, sf)))
 
 
+def _raw(spark, sf):
+    """The faulty bars, once for each ticker and date."""
+    return bars.keep_last(bars.faulty_bars(spark, sf), ["ticker", "date"], "seq").drop("seq")
+
+
 def _days(spark, sf):
-    return quality.calendar(bars.daily_bars(spark, sf))
+    return quality.calendar(_raw(spark, sf))
 
 
 def _trimmed(spark, sf):
-    return quality.enough_history(quality.trim_leading(bars.daily_bars(spark, sf), LIMITS), LIMITS)
+    return quality.enough_history(quality.trim_leading(_raw(spark, sf), LIMITS), LIMITS)
 
 
 def _aligned(spark, sf):
@@ -72,26 +77,36 @@ def _matrix(spark, sf):
     return features.build_matrix(indicators.add_indicators(bars.weekly_bars(spark, sf)), bars.macro_series(spark, sf))
 
 
-SMALL = ("roc_5", "roc_20", "vol_20", "kmid", "klen", "rsv_20", "higap_20", "cntp_20")
+def _train(spark, sf):
+    return features.purged_split(_matrix(spark, sf)).where("split = 'train'")
+
 
+def _clean(spark, sf):
+    return quality.clean(bars.faulty_bars(spark, sf), _days(spark, sf), LIMITS, "seq")
 
-def _small(spark, sf):
-    return features.lag_features(bars.weekly_bars(spark, sf)).select("ticker", "date", *SMALL).dropna()
+
+def _stats(spark, sf):
+    panel, audit = _clean(spark, sf)
+    return quality.cleaning_stats(_raw(spark, sf), quality.trim_leading(_raw(spark, sf), LIMITS), panel, audit, LIMITS)
 
 
 def _corr_pruned(spark, sf):
-    kept, dropped = reduction.prune(_small(spark, sf), list(SMALL), 0.5)
+    kept, dropped = reduction.prune(_train(spark, sf), features.feature_names(), ABOVE)
     return spark.createDataFrame([(k, None, None) for k in kept] + dropped, "feature string, correlated_with string, corr double")
 
 
 def _loadings(spark, sf):
-    *_, loadings = reduction.principal_components(_small(spark, sf), list(SMALL))
-    return spark.createDataFrame(reduction.top_loadings(list(SMALL), loadings), "pc string, feature string, loading double")
+    rows = [(t["pc"], t["feature"], t["loading"]) for t in reduction.run_reduction(_matrix(spark, sf))["top_loadings"]]
+    return spark.createDataFrame(rows, "pc string, feature string, loading double")
+
+
+#: Correlation above which a feature is pruned.
+ABOVE = 0.95
 
 
 def queries() -> dict:
     daily, weekly = bars.daily_bars, bars.weekly_bars
-    integrity = lambda s, d: quality.integrity(daily(s, d), _days(s, d), LIMITS)
+    integrity = lambda s, d: quality.integrity(bars.faulty_bars(s, d), _days(s, d), LIMITS)
     return {
         "bars_weekly": lambda s, d: _out(weekly(s, d), "ticker", "date", "open", "high", "low", "close", "volume"),
         "sma": _weekly(indicators.moving_averages, "ma5", "ma10", "ma20", "ma50", "ma200"),
@@ -114,7 +129,18 @@ def queries() -> dict:
         "integrity": lambda s, d: integrity(s, d).withColumn("flags", F.array_join("flags", ",")),
         "flag_counts": lambda s, d: quality.flag_counts(integrity(s, d)),
         "clean_trim": lambda s, d: _out(_trimmed(s, d), "ticker", "date", "close"),
-        "quarantine": lambda s, d: quality.quarantined(daily(s, d), quality.trim_leading(daily(s, d), LIMITS), LIMITS),
+        "quarantine": lambda s, d: quality.quarantined(_raw(s, d), quality.trim_leading(_raw(s, d), LIMITS), LIMITS),
+        "integrity_summary": lambda s, d: quality.integrity_summary(integrity(s, d)),
+        "faulty_bars": lambda s, d: _out(bars.faulty_bars(s, d), "ticker", "date", "open", "high", "low", "close", "volume", "seq"),
+        "clean": lambda s, d: _out(_clean(s, d)[0], "ticker", "date", "open", "high", "low", "close", "volume", "ret", "ret_winsor", "is_halt", "is_filled", "is_extreme", "is_suspect"),
+        "cleaning_adjustments": lambda s, d: _clean(s, d)[1],
+        "cleaning_stats": _stats,
+        "prelisting_trimmed": lambda s, d: quality.prelisting(_stats(s, d)),
+        "cleaning_report": lambda s, d: quality.cleaning_report(_stats(s, d)),
+        "rsi_aligned": lambda s, d: _out(indicators.rsi(_aligned(s, d)), "ticker", "date", "rsi14"),
+        "ema_aligned": lambda s, d: _out(indicators.exponential_averages(_aligned(s, d), (3, 8)), "ticker", "date", "ema3", "ema8"),
+        "rsi_bars": lambda s, d: charts.rsi_bars(signals.rsi_buckets(_all_indicators(s, d))),
+        "ic_grid": lambda s, d: charts.ic_grid(signals.ic_summary(signals.daily_ic(_all_indicators(s, d)))),
         "clean_align_ffill": lambda s, d: _out(_aligned(s, d), "ticker", "date", "close", "volume", "is_halt", "is_filled"),
         "clean_returns": lambda s, d: _out(_returned(s, d), "ticker", "date", "ret", "log_ret", "is_extreme", "is_suspect"),
         "clean_winsor": lambda s, d: _out(quality.winsorise(_returned(s, d), LIMITS, 10), "ticker", "date", "ret_winsor"),
@@ -124,9 +150,10 @@ def queries() -> dict:
         "universe": lambda s, d: membership.universe(_changes(s, d), _current(s, d), START, END),
         "removed_in": lambda s, d: membership.removed_in(_changes(s, d), START, END),
         "reconcile": lambda s, d: quality.reconcile(weekly(s, d), _second(s, d)),
+        "reconcile_sample": lambda s, d: quality.reconcile_sample(weekly(s, d), _second(s, d), 20),
         "manifest_resume": lambda s, d: store.manifest(weekly(s, d), store.with_fallback(_second(s, d), weekly(s, d).withColumn("source", F.lit("fallback")))),
         "even_sample": lambda s, d: reduction.even_sample(weekly(s, d), "ticker", 6),
-        "corr_matrix": lambda s, d: _out(reduction.correlations(_small(s, d), list(SMALL))),
+        "corr_matrix": lambda s, d: _out(reduction.correlations(_train(s, d), features.feature_names())),
         "corr_pruned": _corr_pruned,
         "top_loadings": _loadings,
         "snapshot": lambda s, d: store.snapshot(s, d),
