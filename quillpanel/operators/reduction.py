@@ -35,11 +35,12 @@ def _products(names: list[str], centre: np.ndarray):
 def moments(df: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Means of the columns, and (4, k, k): counts, sums, squares and products about the means, of pairs without nulls."""
     k = len(names)
-    df = df.select(*(F.col(f"`{n}`").cast("double").alias(n) for n in names))
+    df = df.select(*(F.col(f"`{n}`").cast("double").alias(n) for n in names)).persist()  # read twice; lost parts are made anew
     centre = np.array([0.0 if v is None else v for v in df.agg(*(F.avg(f"`{n}`") for n in names)).first()])
     total = np.zeros(4 * k * k)
     for place, value in df.mapInArrow(_products(names, centre), "place long, value double").groupBy("place").agg(F.sum("value")).collect():
         total[place] = value
+    df.unpersist()
     return centre, total.reshape(4, k, k)
 
 
@@ -109,7 +110,7 @@ def run_reduction(matrix: DataFrame, fraction: float = 0.7, embargo: int | None
     Also under "components" the whole matrix with its principal components, lazily.
     """
     names = names or feature_names()
-    parts = purged_split(matrix, fraction, **({} if embargo is None else {"embargo": embargo})).where("split IS NOT NULL")
+    parts = purged_split(matrix, fraction, **({} if embargo is None else {"embargo": embargo})).where("split IS NOT NULL").persist()
     train = parts.where("split = 'train'")
     sizes = {r.split: r["count"] for r in parts.groupBy("split").count().collect()}
     kept, dropped = prune(train, names, above)

@@ -206,12 +206,12 @@ def oracle_sql() -> dict[str, str]:
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     k = len(names)
     cells = ", ".join(f"abs(corr({a}, {b}))" if i < j else "0.0" for i, a in enumerate(names) for j, b in enumerate(names))
-    near = f"m[(x - 1) * {k} + at]"
+    near = f"m[(x - 1) * {k} + pos]"
     pruned = f"""{whole_matrix()}, cells AS MATERIALIZED (SELECT [{cells}] AS m, {names!r} AS names FROM train),
-walk AS (SELECT 1 AS at, [1] AS kept UNION ALL SELECT at + 1, CASE WHEN len(list_filter(kept, lambda x: m[(x - 1) * {k} + at + 1] > {ABOVE})) > 0 THEN kept ELSE list_append(kept, at + 1) END FROM walk, cells WHERE at < {k}),
-done AS (SELECT kept FROM walk WHERE at = {k}), each AS (SELECT unnest(range(1, {k + 1})) AS at),
-closest AS (SELECT at, list_contains(kept, at) AS stays, list_max(list_transform(list_filter(kept, lambda x: x < at), lambda x: {{'v': {near}, 'x': -x}})) AS best, names FROM each, done, cells)
-SELECT names[at] AS feature, CASE WHEN NOT stays THEN names[-best.x] END AS correlated_with, CASE WHEN NOT stays THEN round_even(best.v, 3) END AS corr FROM closest"""
+walk AS (SELECT 1 AS pos, [1] AS kept UNION ALL SELECT pos + 1, CASE WHEN len(list_filter(kept, lambda x: m[(x - 1) * {k} + pos + 1] > {ABOVE})) > 0 THEN kept ELSE list_append(kept, pos + 1) END FROM walk, cells WHERE pos < {k}),
+done AS (SELECT kept FROM walk WHERE pos = {k}), each AS (SELECT unnest(range(1, {k + 1})) AS pos),
+closest AS (SELECT pos, list_contains(kept, pos) AS stays, list_max(list_transform(list_filter(kept, lambda x: x < pos), lambda x: {{'v': {near}, 'x': -x}})) AS best, names FROM each, done, cells)
+SELECT names[pos] AS feature, CASE WHEN NOT stays THEN names[-best.x] END AS correlated_with, CASE WHEN NOT stays THEN round_even(best.v, 3) END AS corr FROM closest"""
     tenth = " ".join(f"WHEN rsi14 > {a} AND rsi14 <= {a + 10} THEN '({a}, {a + 10}]'" for a in range(0, 100, 10))
     sql = {
         "bars_weekly": f"WITH {BARS} SELECT {key}, {', '.join(r(c, c) for c in ('open', 'high', 'low', 'close'))}, volume FROM bars",
