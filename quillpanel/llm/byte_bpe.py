@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap queue of merge ranks.
 
-A pre-token's pairs wait in buckets by merge rank; a two-level bitmap over the ranks finds the next
-one by find-first-set, and a bucket holds positions of a linked list, the leftmost first. A merge
-leaves stale entries behind, which are skipped when they come up, so a pre-token of n bytes takes
-O(n log n) steps however long it is. Each worker remembers a bounded number of distinct pre-tokens.
+Pairs wait in buckets by merge rank; a two-level bitmap over the ranks finds the next one by
+find-first-set, and a bucket holds positions of a linked list, the leftmost first. A merge leaves
+stale entries behind, which are skipped when they come up, so a pre-token of n bytes takes
+O(n log n) steps however long it is. New pre-tokens share one queue by the group, as no pair reaches
+over the end of one. Each worker remembers a bounded number of distinct pre-tokens.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows and doc_ids are encoded row
 by row; columns other than doc_id and text are ignored; an empty table gives an empty result.
@@ -13,10 +14,10 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import sha256
-from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,53 +25,26 @@ from pyspark.sql import functions as F
 from .common import documents, tokenizer_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-REMEMBERED = 500_000
+#: Distinct pre-tokens (and pairs) that a worker remembers, and their characters.
+REMEMBERED, REMEMBERED_CHARACTERS = 500_000, 8_000_000
+#: Bytes of pre-tokens that are merged together, and characters of texts encoded together; a longer one is alone.
+GROUP = 1 << 15
+#: In the linked list: the end of a pre-token, and a position that has merged into the one before it.
+STOP, GONE = -1, -2
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-class RankQueue:
-    """Positions by rank; the least rank is found in a summary word and one word of 256 ranks."""
-
-    BITS = 8
-
-    def __init__(self):
-        self.summary, self.words, self.buckets = 0, {}, {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            high = rank >> self.BITS
-            self.buckets[rank] = [position]
-            self.words[high] = self.words.get(high, 0) | 1 << (rank & 255)
-            self.summary |= 1 << high
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, position): the least rank, and there the leftmost position."""
-        high = (self.summary & -self.summary).bit_length() - 1
-        word = self.words[high]
-        low = (word & -word).bit_length() - 1
-        rank = high << self.BITS | low
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[high] = word = word & (word - 1)
-            if not word:
-                self.summary &= self.summary - 1
-        return rank, position
-
-
 class BytePairs:
     def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = REMEMBERED):
         import regex
 
         self.ranks, self.split, self.limit = ranks, regex.compile(pattern).findall, limit
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.first = [ranks[bytes([b])] for b in range(256)]
+        self.first = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], dtype=np.int32)
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.held = 0  # characters of the pre-tokens in known
+        self.pairs: dict[int, int] = {}
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> BytePairs:
@@ -78,49 +52,141 @@ class BytePairs:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
     def rank(self, left: int, right: int) -> int:
-        """The merge rank of two neighbours, -1 if they don't merge."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) > self.limit:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
+        """The merge rank of two neighbours, -1 if they don't merge; kept for the next time."""
+        if len(self.pairs) > self.limit:
+            self.pairs.clear()
+        found = -1 if left < 0 or right < 0 else self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
+        self.pairs[left << 32 | right] = found
         return found
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        rank, queue = self.rank, RankQueue()
-        ids, n = [self.first[b] for b in piece], len(piece)
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The code of each pre-token (none empty), of all in one linked list with a STOP after each.
+
+        The queue: positions wait in a bucket by rank; words[h] has a bit for each filled bucket of the
+        256 ranks h * 256 and on, and summary one for each word that isn't 0. waits[i] is the rank that
+        position i waits with, so an entry of another rank is stale. A bucket is worked off from the
+        left; should a merge make a pair of a lesser rank, what is left of the bucket waits again.
+        """
+        known, rank = self.pairs.get, self.rank
+        raw = np.frombuffer(b"\0".join(pieces) + b"\0", dtype=np.uint8)
+        stops = np.cumsum([len(piece) + 1 for piece in pieces]) - 1
+        start = self.first[raw]
+        start[stops] = STOP
+        n = len(raw)
+        ranks = np.full(n, -1, dtype=np.int32)
+        ranks[:-1] = self.byte_pairs[raw[:-1], raw[1:]]
+        ranks[stops] = ranks[stops[stops > 0] - 1] = -1
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0) :]
+        edges = [0, *(np.flatnonzero(np.diff(ranks[order])) + 1).tolist(), len(order)]
+        order, ids, waits = order.tolist(), start.tolist(), ranks.tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for i in range(n - 1):
-            if (r := rank(ids[i], ids[i + 1])) >= 0:
-                queue.push(r, i)
-        while queue.summary:
-            r, i = queue.pop()
-            j = after[i]
-            if ids[i] < 0 or j >= n or rank(ids[i], ids[j]) != r:
-                continue  # stale: a neighbour has merged since
-            ids[i], ids[j] = r, -1
-            after[i] = k = after[j]
-            if k < n:
+        summary, words, buckets = 0, {}, {}
+
+        def wait(r, positions):
+            nonlocal summary
+            buckets[r] = positions
+            if word := words.get(high := r >> 8, 0):
+                words[high] = word | 1 << (r & 255)
+            else:
+                words[high] = 1 << (r & 255)
+                summary |= 1 << high
+
+        if order:
+            for s, e in zip(edges, edges[1:]):
+                wait(waits[order[s]], order[s:e])
+        while summary:
+            high = (summary & -summary).bit_length() - 1
+            word = words[high]
+            r = high << 8 | (word & -word).bit_length() - 1
+            words[high] = word = word & (word - 1)
+            if not word:
+                summary &= summary - 1
+            bucket = buckets.pop(r)
+            bucket.sort()
+            for at, i in enumerate(bucket):
+                if waits[i] != r:
+                    continue
+                j = after[i]
+                ids[i], ids[j], waits[j] = r, GONE, -1
+                after[i] = k = after[j]
                 before[k] = i
-                if (x := rank(r, ids[k])) >= 0:
-                    queue.push(x, i)
-            if (h := before[i]) >= 0 and (x := rank(ids[h], r)) >= 0:
-                queue.push(x, h)
-        return [i for i in ids if i >= 0]
+                right = ids[k]
+                if (x := known(r << 32 | right)) is None:
+                    x = rank(r, right)
+                waits[i] = least = x
+                if x >= 0:
+                    if (into := buckets.get(x)) is not None:
+                        into.append(i)
+                    else:
+                        wait(x, [i])
+                if (h := before[i]) >= 0:
+                    left = ids[h]
+                    if (y := known(left << 32 | r)) is None:
+                        y = rank(left, r)
+                    waits[h] = y
+                    if y >= 0:
+                        if (into := buckets.get(y)) is not None:
+                            into.append(h)
+                        else:
+                            wait(y, [h])
+                        least = y if least < 0 else min(least, y)
+                if 0 <= least < r and at + 1 < len(bucket):
+                    wait(r, bucket[at + 1 :])
+                    break
+        done = np.array(ids, dtype=np.int32)
+        kept = np.cumsum(done >= 0)[stops] * 4
+        code = done[done >= 0].astype("<u4").tobytes()
+        return [code[s:e] for s, e in zip([0, *kept[:-1].tolist()], kept.tolist())]
+
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Remember the ids of pre-tokens, those of about GROUP bytes at a time."""
+        group: list[tuple[str, bytes]] = []
+        size = 0
+
+        def close():
+            if group:
+                self.known.update(zip((piece for piece, _ in group), self.merge([data for _, data in group])))
+            group.clear()
+
+        for piece in pieces:
+            data = piece.encode("utf-8", "surrogatepass")
+            self.held += len(piece)
+            if (whole := self.ranks.get(data)) is not None:
+                self.known[piece] = array("I", [whole]).tobytes()
+                continue
+            if group and size + len(data) > GROUP:
+                close()
+                size = 0
+            group.append((piece, data))
+            size += len(data)
+        close()
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers, in order."""
+        waiting: list[list[str]] = []
+        size = 0
+
+        def close():
+            known = self.known
+            self._learn({p for pieces in waiting for p in pieces if p not in known})
+            out = [b"".join(map(known.__getitem__, pieces)) for pieces in waiting]
+            waiting.clear()
+            if len(known) > self.limit or self.held > REMEMBERED_CHARACTERS:
+                known.clear()
+                self.held = 0
+            return out
+
+        for text in texts:
+            if waiting and size + len(text) > GROUP:
+                yield from close()
+                size = 0
+            waiting.append(self.split(text))
+            size += len(text)
+        yield from close()
 
     def encode(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers."""
-        known, pieces = self.known, self.split(text)
-        for piece in {p for p in pieces if p not in known}:
-            known[piece] = array("I", self.merge(piece.encode("utf-8", "surrogatepass"))).tobytes()
-        out = b"".join(map(known.__getitem__, pieces))
-        if len(known) > self.limit:
-            known.clear()
-        return out
+        return next(self.encode_all([text]))
 
     def decode(self, code: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, array("I", code)))
@@ -142,8 +208,7 @@ def _digests(name: str):
         pairs = byte_pairs(name)
         for batch in batches:
             out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for text in batch.column("text"):
-                code = pairs.encode(text.as_py() or "")
+            for code in pairs.encode_all(text.as_py() or "" for text in batch.column("text")):
                 out["n_tokens"].append(len(code) // 4)
                 out["ids_sha256"].append(sha256(code).hexdigest())
                 out["decoded_sha256"].append(sha256(pairs.decode(code)).hexdigest())
@@ -156,7 +221,7 @@ def _ids(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = byte_pairs(name)
         for batch in batches:
-            ids = [array("I", pairs.encode(t.as_py() or "")).tolist() for t in batch.column("text")]
+            ids = [array("I", code).tolist() for code in pairs.encode_all(t.as_py() or "" for t in batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return run

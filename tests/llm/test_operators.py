@@ -324,3 +324,28 @@ def test_pipeline_stages_hand_on_the_columns(spark, sf):
 @pytest.mark.parametrize("query", [token_counts.op1_token_counts, packing.op2_packing, suffix_dedup.op4_suffix_dedup, quality_rules.op6_quality_rules, simhash.op7_simhash, pii.op8_pii, byte_bpe.op9_byte_bpe, mpeg_audio.op10_mpeg_audio])
 def test_empty_tables_give_empty_results(spark, sf, query):
     assert query(spark, f"{sf}/empty").count() == 0
+
+
+def test_byte_pairs_in_one_queue_equal_one_by_one():
+    """Groups of pre-tokens against plain merging, with ranks that fall as pieces grow."""
+    from quillpanel.llm.byte_bpe import BytePairs
+
+    def plain(piece: bytes) -> list[int]:
+        parts = [bytes([b]) for b in piece]
+        while True:
+            found = [(pairs.ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in pairs.ranks]
+            if not found:
+                return [pairs.ranks[x] for x in parts]
+            _, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    g = random.Random(3)
+    made = {bytes([b]): b for b in range(256)} | {b"ab": 400, b"aba": 300, b"ba": 401, b"aa": 299, b"aaa": 700, b"bab": 260, b"abab": 257}
+    pairs = BytePairs(made, r"\S+|\s+")
+    pieces = ["".join(g.choice("abc") for _ in range(g.randrange(1, 12))) for _ in range(3000)] + ["abab", "a" * 999, "ab" * 40_000]
+    for piece, code in zip(pieces, pairs.merge([p.encode() for p in pieces])):
+        if len(piece) < 1000:
+            assert memoryview(code).cast("I").tolist() == plain(piece.encode())
+    text = " ".join(pieces)
+    assert pairs.decode(pairs.encode(text)) == text.encode()
+    assert list(pairs.encode_all(["", "a b", ""])) == [b"", pairs.encode("a b"), b""]
