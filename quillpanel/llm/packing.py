@@ -45,6 +45,7 @@ class WordIds:
     PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
     PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^0-9A-Za-zÀ-ÖØ-öø-ÿ]+")
     LETTERS = re.compile(r"[a-zà-öø-ÿ]+")
+    ONE_RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, path: str, limit: int = REMEMBERED):
         import numpy as np
@@ -74,13 +75,17 @@ class WordIds:
         return [code[a:b] for a, b in zip(starts, starts[1:])]
 
     def _learn(self, words: list[str]) -> None:
-        split = {w: self.PARTS.findall(w.lower()) if self.PLAIN.fullmatch(w) else [w] for w in words}
-        parts, new = self.parts, {p for own in split.values() for p in own if p not in self.parts}
+        whole = {w: w.lower() for w in words if self.ONE_RUN.fullmatch(w)}  # one part, without a list for it
+        split = {w: self.PARTS.findall(w.lower()) if self.PLAIN.fullmatch(w) else [w] for w in words if w not in whole}
+        parts = self.parts
+        new = {p for own in split.values() for p in own if p not in parts}
+        new.update(p for p in whole.values() if p not in parts)
         letters = [p for p in new if self.LETTERS.fullmatch(p)]
         others = list(new.difference(letters))
         for at in range(0, len(letters), 2000):
             parts.update(zip(letters[at : at + 2000], self._encode_letters(letters[at : at + 2000])))
         parts.update(zip(others, self._encode(others)))
+        self.words.update(zip(whole, map(parts.__getitem__, whole.values())))
         for word, own in split.items():
             self.words[word] = b"".join(map(parts.__getitem__, own))
 
