@@ -27,33 +27,37 @@ VOCABULARY = "word_bpe_49k.json"
 CLOSING_ID = 1
 #: Remainders packed together; what a group can waste is at most about one window.
 GROUP_ROWS = 2048
-#: Words a worker remembers before it starts anew.
+#: Parts of words a worker remembers before it starts anew (and 16 times as many characters).
 REMEMBERED = 400_000
+#: Characters of a text taken at once.
+SLICE = 1 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds:
-    """Ids of texts as little-endian bytes, each distinct blank-separated word encoded once.
+    """Ids of texts as little-endian bytes, each distinct part of a word encoded once.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those of its
     words in order. A plain word falls further into runs of letters, single digits and runs of other
-    signs, in lower case, as the vocabulary's own pattern has it; these parts are remembered too.
+    signs, in lower case, as the vocabulary's own pattern has it. A slice of plain words alone falls
+    into parts at once; in any other, the words that are not plain go to the tokenizer whole.
     """
 
-    #: Words made of these alone split as PARTS says; any other word goes to the tokenizer whole.
+    #: Words made of these alone split as PARTS says.
     PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
-    PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^0-9A-Za-zÀ-ÖØ-öø-ÿ]+")
-    LETTERS = re.compile(r"[a-zà-öø-ÿ]+")
-    ONE_RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    PLAIN_SLICE = re.compile(r"[ \n!-&(-;=-~À-ÖØ-öø-ÿ]*")
+    PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^ \n0-9a-zß-öø-ÿ]+")
+    LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+    BLANK = re.compile(r"[ \n]")
 
     def __init__(self, path: str, limit: int = REMEMBERED):
         import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.characters = 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for piece, i in vocabulary.items():
@@ -74,30 +78,44 @@ class WordIds:
         code, starts = ids.tobytes(), [0, *ends.tolist()]
         return [code[a:b] for a, b in zip(starts, starts[1:])]
 
-    def _learn(self, words: list[str]) -> None:
-        whole = {w: w.lower() for w in words if self.ONE_RUN.fullmatch(w)}  # one part, without a list for it
-        split = {w: self.PARTS.findall(w.lower()) if self.PLAIN.fullmatch(w) else [w] for w in words if w not in whole}
-        parts = self.parts
-        new = {p for own in split.values() for p in own if p not in parts}
-        new.update(p for p in whole.values() if p not in parts)
+    def _learn(self, new: set[str]) -> None:
         letters = [p for p in new if self.LETTERS.fullmatch(p)]
         others = list(new.difference(letters))
         for at in range(0, len(letters), 2000):
-            parts.update(zip(letters[at : at + 2000], self._encode_letters(letters[at : at + 2000])))
-        parts.update(zip(others, self._encode(others)))
-        self.words.update(zip(whole, map(parts.__getitem__, whole.values())))
-        for word, own in split.items():
-            self.words[word] = b"".join(map(parts.__getitem__, own))
+            self.parts.update(zip(letters[at : at + 2000], self._encode_letters(letters[at : at + 2000])))
+        self.parts.update(zip(others, self._encode(others)))
+        self.characters += sum(map(len, new))
+
+    def _split(self, text: str) -> list[str]:
+        if self.PLAIN_SLICE.fullmatch(text):
+            return self.PARTS.findall(text.lower())
+        out: list[str] = []
+        for word in text.replace("\n", " ").split(" "):
+            if self.PLAIN.fullmatch(word):
+                out += self.PARTS.findall(word.lower())
+            elif word:
+                out.append(word)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(list(set().union(*split).difference(self.words)))
-        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
-        for known in (self.words, self.parts):
-            if len(known) > self.limit:
-                known.clear()
+        split = list(map(self._split, texts))
+        self._learn(set().union(*split).difference(self.parts))
+        out = [b"".join(map(self.parts.__getitem__, parts)) for parts in split]
+        if len(self.parts) > self.limit or self.characters > 16 * self.limit:
+            self.parts.clear()
+            self.characters = 0
         return out
 
+    def encode_long(self, text: str, slice_characters: int = SLICE) -> bytes:
+        """Ids of a text of any length, slice by slice; slices end at a blank, or at a text's end."""
+        out, at = [], 0
+        while at < len(text):
+            blank = self.BLANK.search(text, at + slice_characters)
+            cut = blank.start() if blank else len(text)
+            out += self.encode([text[at:cut]])
+            at = cut
+        return b"".join(out)
+
 
 _encoders: dict[str, WordIds] = {}
 
@@ -174,10 +192,11 @@ def _cut(vocabulary: str, window: int) -> Callable[[Iterator[pa.RecordBatch]], I
             ids = batch.column("doc_id").to_pylist()
             column = batch.column("text")
             for at in range(0, len(ids), 256):
-                texts = column.slice(at, 256).to_pylist()
+                texts = [t or "" for t in column.slice(at, 256).to_pylist()]
+                codes = encoder.encode([t if len(t) <= SLICE else "" for t in texts])
                 out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "at")}
-                for doc, code in zip(ids[at : at + 256], encoder.encode([t or "" for t in texts])):
-                    code += closing
+                for doc, text, code in zip(ids[at : at + 256], texts, codes):
+                    code = (code if len(text) <= SLICE else encoder.encode_long(text)) + closing
                     n = len(code) // 4
                     for start in range(0, n, window):
                         piece = code[4 * start : 4 * (start + window)]
