@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillpanel.llm import byte_bpe, common, golay, html_extraction, mpeg_audio, near_copies, packing, pii, quality_rules, simhash, suffix_dedup, token_counts
+from quillpanel.llm import byte_bpe, golay, html_extraction, mpeg_audio, near_copies, packing, pii, quality_rules, simhash, suffix_dedup, token_counts
 from quillpanel.llm.common import tokenizer_path
 
 WORDS = "the river runs past old mills and under stone bridges while people walk home from work at dusk in light rain".split()
@@ -354,7 +354,7 @@ def test_byte_pairs_in_one_queue_equal_one_by_one():
 def test_word_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
-    path = common.tokenizer_path(packing.VOCABULARY)
+    path = tokenizer_path(packing.VOCABULARY)
     whole, ours, rnd = Tokenizer.from_file(path), packing.WordIds(path, limit=500), random.Random(5)
     signs = ["abcXYZ éÉßÿÞÐ×÷µªº'sS't<|end of>tx1290 \n\t\rΣİıK­​!#$%&()*+,-./:;=?@[]^_`{|}~\x00\x1c\x85 ÀÖØöø", "abAB éÉßÿÞ 12.,;!\n-%$"]
     made = ["".join(rnd.choice(signs[i % 2]) for _ in range(rnd.randint(0, 60))) for i in range(2000)] + ["Straße schßung über-ÄÖÜß 100%", " \n \n", ""]
