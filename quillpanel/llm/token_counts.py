@@ -34,6 +34,8 @@ VOCABULARY = "piece_bpe_32k.model"
 NODES, KNOWN, DEPTH = 1_000_000, 8_000_000, 256
 #: Characters of a text that are split at a time, and forward scores that are held beyond the trie.
 SLICE, HELD = 1 << 20, 1 << 13
+#: Last characters of a prefix by which the pieces that end there are listed.
+ENDING = 4
 #: What a byte of a character without a piece costs beyond the rarest piece.
 BYTE_PENALTY = 10.0
 
@@ -59,11 +61,17 @@ class Unigrams:
         self.scores, self.limit, self.room, self.depth = scores, nodes, known, depth
         self.byte = min(scores.values()) - BYTE_PENALTY
         self.longest = max(map(len, scores))
-        ends: dict[str, set[int]] = {}
+        #: By a prefix's last characters (ENDING at most): the pieces of so many characters that end there, with scores.
+        self.short: dict[str, tuple[tuple[int, float], ...]] = {}
+        #: By a prefix's last ENDING characters: the lengths of the longer pieces that end so.
+        self.long: dict[str, tuple[int, ...]] = {}
+        longer: dict[str, set[int]] = {}
         for p in scores:
-            ends.setdefault(p[-2:], set()).add(len(p))
-        #: Lengths of pieces by their last two characters (or their only one).
-        self.lengths = {e: sorted(n) for e, n in ends.items()}
+            if len(p) > ENDING:
+                longer.setdefault(p[-ENDING:], set()).add(len(p))
+        for end in {p[-ENDING:] for p in scores}:
+            self.short[end] = tuple((n, scores[end[-n:]]) for n in range(1, len(end) + 1) if end[-n:] in scores)
+            self.long[end] = tuple(sorted(longer.get(end, ())))
         self._clear()
 
     def _clear(self) -> None:
@@ -75,42 +83,56 @@ class Unigrams:
 
     def _step(self, word: str, i: int, best: list[float], count: list[int], gone: int) -> tuple[float, int]:
         """The forward score and count of word[:i] from those of its prefixes, of which the first ones are gone."""
-        c = word[i - 1]
+        at = i - gone
+        end = word[i - ENDING : i] if i > ENDING else word[:i]
+        short = self.short.get(end)
+        while short is None and end:  # no piece ends with these characters, so all that do are shorter
+            end = end[1:]
+            short = self.short.get(end)
         found, pieces_ = -math.inf, 0
-        if c not in self.scores:
-            n = len(c.encode("utf-8", "surrogatepass"))
-            found, pieces_ = best[i - 1 - gone] + n * self.byte, count[i - 1 - gone] + n
-        for n in (*(self.lengths.get(c, ())), *(self.lengths.get(word[i - 2 : i], ()) if i > 1 else ())):
-            if n > i:
-                break
-            score = self.scores.get(word[i - n : i])
-            if score is not None:
-                p = i - n - gone
-                score += best[p]
-                if score > found or score == found and count[p] + 1 < pieces_:
-                    found, pieces_ = score, count[p] + 1
+        if word[i - 1] not in self.scores:
+            n = len(word[i - 1].encode("utf-8", "surrogatepass"))
+            found, pieces_ = best[at - 1] + n * self.byte, count[at - 1] + n
+        if short is None:
+            return found, pieces_
+        for n, score in short:
+            score += best[at - n]
+            if score > found or score == found and count[at - n] + 1 < pieces_:
+                found, pieces_ = score, count[at - n] + 1
+        if len(end) == ENDING:
+            for n in self.long[end]:
+                if n > i:
+                    break
+                score = self.scores.get(word[i - n : i])
+                if score is not None:
+                    score += best[at - n]
+                    if score > found or score == found and count[at - n] + 1 < pieces_:
+                        found, pieces_ = score, count[at - n] + 1
         return found, pieces_
 
     def _score(self, word: str) -> tuple[int, float]:
         word = word.replace(" ", "▁")
-        child, best, count, depth = self.child, self.best, self.count, self.depth
-        b, n, gone = [0.0], [0], 0  # of the prefixes of this word
-        node = 0
-        for i, c in enumerate(word[:depth], 1):
+        child, best, count = self.child, self.best, self.count
+        node, path = 0, [0]
+        kept = word[: self.depth]
+        for c in kept:
             below = child.get((node, c))
             if below is None:
-                score, pieces_ = self._step(word, i, b, n, 0)
-                below = child[node, c] = len(best)
-                best.append(score)
-                count.append(pieces_)
+                break
             node = below
-            b.append(best[node])
-            n.append(count[node])
-        for i in range(depth + 1, len(word) + 1):
+            path.append(node)
+        if len(path) == len(word) + 1:
+            return count[node], best[node]
+        b, n, gone = [best[k] for k in path], [count[k] for k in path], 0  # of the prefixes of this word
+        for i in range(len(path), len(word) + 1):
             score, pieces_ = self._step(word, i, b, n, gone)
             b.append(score)
             n.append(pieces_)
-            if len(b) > HELD + self.longest:
+            if i <= len(kept):  # below a new node all nodes are new
+                node = child[node, kept[i - 1]] = len(best)
+                best.append(score)
+                count.append(pieces_)
+            elif len(b) > HELD + self.longest:
                 del b[:HELD], n[:HELD]
                 gone += HELD
         return n[-1], b[-1]
