@@ -129,7 +129,8 @@ class Unigrams:
             b.append(score)
             n.append(pieces_)
             if i <= len(kept):  # below a new node all nodes are new
-                node = child[node, kept[i - 1]] = len(best)
+                child[node, kept[i - 1]] = len(best)
+                node = len(best)
                 best.append(score)
                 count.append(pieces_)
             elif len(b) > HELD + self.longest:

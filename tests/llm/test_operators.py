@@ -363,3 +363,10 @@ def test_word_ids_equal_the_tokenizer():
         expected = b"".join(i.to_bytes(4, "little") for i in e.ids)
         assert code == expected
         assert ours.encode_long(text, 7) == expected
+
+
+def test_pre_tokens_share_the_nodes_of_their_prefixes():
+    model = token_counts.Unigrams({"a": -1.0, "b": -1.5, "ab": -2.0, "▁": -1.0})
+    model.measure("ab abba\nabb ab")
+    words = ["▁ab", "▁abba", "\n", "abb"]
+    assert len(model.best) == 1 + len({w[:i] for w in words for i in range(1, len(w) + 1)})
