@@ -144,7 +144,7 @@ def queries() -> dict:
         "clean_align_ffill": lambda s, d: _out(_aligned(s, d), "ticker", "date", "close", "volume", "is_halt", "is_filled"),
         "clean_returns": lambda s, d: _out(_returned(s, d), "ticker", "date", "ret", "log_ret", "is_extreme", "is_suspect"),
         "clean_winsor": lambda s, d: _out(quality.winsorise(_returned(s, d), LIMITS, 10), "ticker", "date", "ret_winsor"),
-        "panel_wide_pivot": lambda s, d: _out(quality.wide(weekly(s, d))),
+        "panel_wide_pivot": lambda s, d: quality.wide(weekly(s, d), digits=DIGITS),
         "members_on": lambda s, d: membership.members_on(_changes(s, d), _current(s, d), _dates(s)),
         "membership_snapshots": lambda s, d: membership.snapshots(_changes(s, d), _current(s, d), _dates(s)),
         "universe": lambda s, d: membership.universe(_changes(s, d), _current(s, d), START, END),

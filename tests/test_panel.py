@@ -4,6 +4,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,41 @@ def test_every_ticker_has_its_column(spark):
     assert cells == bars.weekly_bars(spark, path).count()
 
 
+def test_wide_plan_has_no_expression_for_each_ticker(spark):
+    def compound(node):
+        own, below = node.expressions(), node.children()
+        return sum(own.apply(i).children().size() > 0 for i in range(own.size())) + sum(compound(below.apply(i)) for i in range(below.size()))
+
+    panel = spark.range(400).selectExpr("date'2020-01-01' AS date", "cast(id AS string) AS ticker", "cast(id AS double) AS adj_close")
+    got = quality.wide(panel, digits=2)
+    assert compound(got._jdf.queryExecution().optimizedPlan()) < 40
+    assert got.first().asDict() == {"date": DAY, **{str(i): float(i) for i in range(400)}}
+
+
+def test_wide_keeps_dates_without_prices(spark):
+    rows = [("B", day(0), 1.0), ("B", day(0), 2.0), ("A", day(1), math.nan), ("A", None, 3.0), (None, day(2), 4.0), ("B", day(1), None), ("C", day(3), 0.126)]
+    panel = spark.createDataFrame(rows, "ticker string, date date, adj_close double")
+    whole = {r.date: tuple(r)[1:] for r in quality.wide(panel, digits=2).collect()}
+    assert str(whole.pop(day(1))) == "(nan, None, None)"
+    assert whole == {day(0): (None, 1.5, None), None: (3.0, None, None), day(2): (None, None, None), day(3): (None, None, 0.13)}
+    named = quality.wide(panel, ["Z", "A"])
+    assert named.columns == ["date", "Z", "A"] and {(r.date, r.Z, str(r.A)) for r in named.collect()} == {(day(0), None, "None"), (day(1), None, "nan"), (day(2), None, "None"), (day(3), None, "None"), (None, None, "3.0")}
+    assert quality.wide(panel.limit(0)).columns == ["date"]
+
+
+@pytest.mark.parametrize("cells, rows", [(1, 1), (12, 5), (40, 64)])
+def test_wide_rows_do_not_depend_on_batches(monkeypatch, cells, rows):
+    monkeypatch.setattr(quality, "CELLS", cells)
+    monkeypatch.setattr(quality, "LOOKED_UP", rows)
+    g, names = np.random.default_rng(1), list("abcdef")
+    table = [(d, t, float(g.random())) for d in [None, *map(day, range(30))] for t in [*names, "other", None] if g.random() < 0.4]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*table[i : i + 7]), (pa.date32(), pa.string(), pa.float64()))], ["date", "ticker", "mean"]) for i in range(0, len(table), 7)]
+    got = pa.Table.from_batches(quality._spread(names)(iter(batches))).to_pylist()
+    dates = list(dict.fromkeys(d for d, *_ in table))
+    of = {(d, t): x for d, t, x in table}
+    assert got == [{"date": d, **{n: of.get((d, n)) for n in names}} for d in dates]
+
+
 def test_snapshot_has_every_file_with_its_rows(spark):
     path = "/root/testdata/sf0.001"
     got = {r.file: (r.rows, r.bytes) for r in queries.queries()["snapshot"](spark, path).collect()}
