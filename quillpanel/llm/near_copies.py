@@ -1,11 +1,11 @@
 """The pipeline's near-copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come first from SimHash fingerprints of the sets, met by Golay keys as in simhash.py. At a
-similarity of 0.8 two 64-bit fingerprints differ in about ten bits, though, and keys that reach so far
-would be shared by most of a large corpus; so documents meet on MinHash keys besides: BANDS keys of DEEP
-least hashes each. A pair of similarity s shares a key with probability 1 - (1 - s**DEEP)**BANDS, 0.9998
-at 0.8. What meets is verified on the whole sets. Only distinct sets take part, so a group of copies is
-one row.
+Candidates come first from SimHash fingerprints of all sets, met by Golay keys as in simhash.py, whether
+or not they share a MinHash key. At a similarity of 0.8 two 64-bit fingerprints differ in about ten bits,
+though, and keys that reach so far would be shared by most of a large corpus; so documents meet on MinHash
+keys besides: BANDS keys of DEEP least hashes each. A pair of similarity s shares a key with probability
+1 - (1 - s**DEEP)**BANDS, 0.9998 at 0.8. What is proposed or meets is verified on the whole sets. Only
+distinct sets take part, so a group of copies is one row.
 
 In each of STARS rounds every document that shares a key with another component is held against one
 leader, the least of its keys' by an order that changes with the round; in a group of near-copies that is
@@ -177,10 +177,10 @@ def _rest(left: DataFrame, sets: DataFrame) -> DataFrame:
     return durable(met.mapInArrow(_compared, "a binary, b binary"))
 
 
-def links(nodes: DataFrame, met: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links whose components are those of all pairs that meet and are alike.
+def links(proposed: DataFrame, met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links whose components are those of all pairs that are proposed or meet and are alike.
 
-    nodes: (id, fp); met: (id, at, size) of shared keys; sets: (id, own) of the ids in met.
+    proposed: (a, b); met: (id, at, size) of shared keys; sets: (id, own) of the ids in either.
     """
     found, left = None, met.withColumn("root", F.col("id"))
     for turn in range(STARS):
@@ -188,7 +188,7 @@ def links(nodes: DataFrame, met: DataFrame, sets: DataFrame) -> DataFrame:
         lead = left.groupBy("at").agg(F.min(F.struct(order.alias("o"), "id", "root")).alias("lead"))
         best = left.join(lead, "at").where("root != lead.root").groupBy("id").agg(F.min("lead").alias("lead"))
         pairs = best.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
-        new = _links((pairs if found else pairs.unionByName(_proposed(nodes))).distinct(), sets)
+        new = _links((pairs if found else pairs.unionByName(proposed)).distinct(), sets)
         found = found.unionByName(new) if found else new
         left = durable(_apart(met, found))
         if left.isEmpty():
@@ -211,10 +211,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     discard(spark, [rows.durable_path])
     keyed = nodes.select("id", "size", F.explode("at").alias("at"))
     met = durable(spread_join(keyed, keyed.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["at"], "n", F.xxhash64("id")).select("id", "at", "size"))
-    needed = nodes.join(met.select("id").distinct(), "id", "left_semi").select("id", "fp", F.col("name.x").alias("x"), F.col("name.y").alias("y"))
+    pairs = durable(_proposed(nodes.where("size > 0").select("id", "fp")))
+    either = met.select("id").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    needed = nodes.join(either, "id", "left_semi").select("id", F.col("name.x").alias("x"), F.col("name.y").alias("y"))
     texts = docs.select(known[0].alias("x"), known[1].alias("y"), text).join(needed, ["x", "y"]).select("id", "text")
     sets = durable(texts.mapInArrow(_sets, "id binary, own binary").dropDuplicates(["id"]))
-    of = durable(components(links(needed.select("id", "fp"), met, sets)).toDF("id", "root"))
+    of = durable(components(links(pairs, met, sets)).toDF("id", "root"))
     stay = nodes.join(of, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("name").alias("name")).select("name.x", "name.y").distinct()
     x, y = fresh(docs, "_sim_x"), fresh(docs, "_sim_y")
     stay = durable(stay.toDF(x, y))

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,21 @@ def test_rows_that_differ_in_nulls_alone_are_two(spark):
     assert len(got) == 2
 
 
+def test_simhash_alone_links_documents_that_share_no_minhash_key(spark, monkeypatch):
+    signatures = near_copies._signatures
+
+    def keyless(batches):
+        for batch in signatures(batches):
+            yield batch.set_column(batch.schema.get_field_index("at"), "at", pa.array([[]] * len(batch), pa.list_(pa.int64())))
+
+    monkeypatch.setattr(near_copies, "_signatures", keyless)
+    g = random.Random(5)
+    texts = [prose(g, 2000), prose(g, 2000), None]
+    texts += [texts[0] + " end", texts[1] + " end", ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCUMENTS)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 1, 2]
+
+
 def test_no_folder_of_one_machine_on_a_cluster():
     class Unset:
         master, applicationId = "spark://host:7077", "a"
